@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from quillgraph.llm.bpe import bpe_decode, bpe_encode
+from quillgraph.llm.media import UNIT, read_media, store_media
 from quillgraph.llm.near_dedup import near_duplicates
+from quillgraph.llm.packing import pack, token_pieces
+from quillgraph.llm.sharding import SHARDS, shard_by_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +21,44 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, similarity=0.85)
 
 
+def vocabulary_file() -> str:
+    """The public vocabulary that the contracts name; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_media(store_media(_table(spark, sf_dir, "documents")))
+    size = (F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / UNIT)) * UNIT).cast("bigint")
+    payload = F.expr(f"substring(thumbnail, 1, cast(greatest(1, ceil(n_bytes / {UNIT})) * {UNIT} as int))")
+    return read.withColumn("payload", payload).select(
+        "doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws("-", F.concat_ws("x", "width", "height"), "thumbnail_hash").alias("feature"),
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), vocabulary_file())
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(_table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), vocabulary_file()), vocabulary_file())
+    return read.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_media": op2_media,
+    "op3_packing": op3_packing,
+    "op6_sharding": op6_sharding,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
