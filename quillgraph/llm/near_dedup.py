@@ -11,7 +11,8 @@ A bucket is never expanded into all its pairs. The join goes in two rounds:
 1. in each bucket every text meets its neighbour in a random order; the nearest few partners of each text
    are verified on the full sets, and links are closed to components;
 2. pairs that meet in a bucket but still lie in different components are verified, all of them: small
-   buckets by a join, large ones in blocks of bounded size, outsiders against members.
+   buckets by a join, large ones in cells of bounded size, where the outsiders of the bucket (those beyond
+   its largest component) meet a block of members on the full sets and only links leave.
 
 So no link between different components stays unseen, while a group of n copies costs O(n) rows.
 Equal sets are one node from the start.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import components, discard, runs, slices, stage
 
 MISS = 1e-4
-SMALL, BLOCK, NEAREST = 32, 4096, 4
+SMALL, BLOCK, BLOCK_SHINGLES, NEAREST = 32, 4096, 1_000_000, 4
 
 
 @lru_cache
@@ -139,34 +140,33 @@ def _distance(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
 
 
-def _outsiders(k: int, m: int, limit: int):
-    """Pairs of an outsider and a member of a block within the distance, told by the first key that they share."""
-    chunks = _chunks(k, m)
+def _outsiders(percent: int):
+    """Links between outsiders and members of a cell, confirmed on the full sets: one for each outsider and component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "unit"):
             outside = group.column("outside").to_numpy()
-            node, comp = group.column("node").to_numpy(), group.column("component").to_numpy()
-            sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), k)
-            which = group.column("place")[0].as_py()
             q, r = outside.nonzero()[0], (~outside).nonzero()[0]
+            if not len(q) or not len(r):
+                continue
+            node, comp = group.column("node").to_numpy(), group.column("component").to_numpy()
+            sets = group.column("members").combine_chunks()
+            values = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+            ends = np.cumsum(group.column("members").combine_chunks().value_lengths().to_numpy())
+            starts = np.concatenate([[0], ends[:-1]])
+            size = ends - starts
+            mine = np.concatenate([values[starts[i] : ends[i]] for i in r])
+            begin = np.concatenate([[0], np.cumsum(size[r])[:-1]])
+            mark = np.zeros(values.max() + 1, np.int32)
             for i in q:
-                differ = sig[r] != sig[i]
-                near = (differ.sum(axis=1) <= limit) & (comp[r] != comp[i])
-                if not near.any():
-                    continue
-                # a pair meets under many keys; only its first one tells it
-                differ, other = differ[near], r[near]
-                first = np.full(len(other), -1)
-                for c, x in reversed(list(enumerate(chunks))):
-                    wrong = differ[:, x.start : x.stop]
-                    count = wrong.sum(axis=1)
-                    gap = np.where(count == 1, wrong.argmax(axis=1), 0)
-                    first = np.where(count <= 1, c * 1000 + gap, first)
-                other = other[first == which]
-                if len(other):
-                    a = np.full(len(other), node[i])
-                    b = node[other]
+                own = values[starts[i] : ends[i]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[mine], begin)
+                mark[own] = 0
+                linked = r[(100 * both >= percent * (size[i] + size[r] - both)) & (comp[r] != comp[i])]
+                if len(linked):
+                    linked = linked[np.unique(comp[linked], return_index=True)[1]]
+                    a, b = np.full(len(linked), node[i]), node[linked]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
@@ -188,11 +188,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         .withColumn("node", F.monotonically_increasing_id()),
         "near_classes",
     )
-    places = [i * 1000 + gap - c.start for i, c in enumerate(_chunks(k, m)) for gap in c]
-    keyed = classes.select("node", F.posexplode(F.array(*chunk_keys(F.col("sig"), k, m))).alias("pos", "key"))
+    keyed = classes.select("node", F.explode(F.array(*chunk_keys(F.col("sig"), k, m))).alias("key"))
     in_bucket = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
     buckets = stage(
-        keyed.select("key", "pos", "node", F.lag("node").over(in_bucket).alias("prev"), F.lead("node").over(in_bucket).alias("next")).where("prev is not null or next is not null").select("key", "pos", "node", "prev"),
+        keyed.select("key", "node", F.lag("node").over(in_bucket).alias("prev"), F.lead("node").over(in_bucket).alias("next")).where("prev is not null or next is not null").select("key", "node", "prev"),
         "near_buckets",
     )
     met = buckets.select("node").distinct()
@@ -218,22 +217,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     comps1 = components(links1, "near_comps")
 
     # second round: whatever meets in a bucket and is still apart
-    placed = buckets.select("key", "pos", "node").join(comps1, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per_comp = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = per_comp.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
+    placed = buckets.select("key", "node").join(comps1, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = chosen.select("node", F.col("n").alias("size"))
+    per_comp = placed.join(sizes, "node").groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
+    mixed = per_comp.groupBy("key").agg(F.sum("c").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
     open_ = stage(placed.join(mixed, "key"), "near_open")
     small = open_.where(F.col("n") <= SMALL)
     pairs_small = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = open_.where(F.col("n") > SMALL).join(sig, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = open_.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = large.select("*", F.lit(False).alias("outside"), every).withColumn("cell", F.xxhash64("key", "own", "other")).union(
-        large.where("component <> main").select("*", F.lit(True).alias("outside"), every).withColumn("cell", F.xxhash64("key", "other", "own"))
+    cells = large.select("*", F.lit(False).alias("outside"), every).withColumn("unit", F.xxhash64("key", "own", "other")).union(
+        large.where("component <> main").select("*", F.lit(True).alias("outside"), every).withColumn("unit", F.xxhash64("key", "other", "own"))
     )
-    place_of = F.element_at(F.array(*map(F.lit, places)), F.col("pos") + 1).alias("place")
-    units = cells.select(F.col("cell").alias("unit"), "node", "component", "outside", place_of, "sig").repartition("unit").sortWithinPartitions("unit")
-    pairs_large = units.mapInArrow(_outsiders(k, m, limit), "a bigint, b bigint")
-    rest = near(pairs_small.union(pairs_large).distinct()).select("a", "b")
-    links2 = stage(verified(rest), "near_links2")
+    units = cells.select("unit", "node", "component", "outside").join(full, "node").repartition("unit").sortWithinPartitions("unit")
+    met_large = units.mapInArrow(_outsiders(percent), "a bigint, b bigint")
+    rest = near(pairs_small.distinct()).select("a", "b")
+    links2 = stage(verified(rest).union(met_large), "near_links2")
     comps = components(links1.union(links2), "near_comps")
     discard(buckets, full, sided, open_, comps1)
 
