@@ -7,10 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bpe import bpe_decode, bpe_encode
+from quillgraph.llm.embed_dedup import near_vectors
 from quillgraph.llm.media import UNIT, read_media, store_media
 from quillgraph.llm.near_dedup import near_duplicates
 from quillgraph.llm.packing import pack, token_pieces
+from quillgraph.llm.secrets import scan_secrets
 from quillgraph.llm.sharding import SHARDS, shard_by_bytes
+from quillgraph.llm.toxicity import fit, held_out, toxicity_scores
+from quillgraph.llm.url_filter import judge_urls
+from quillgraph.llm.warc import resolve_revisits
+
+#: The contract's rules.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +51,44 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """A crawl log over all pages: each is fetched in full at a time of its own and revisited twice; every seventh has changed by the second visit."""
+    visit = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("visit")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    changed = (F.col("visit") == 2) & (F.col("page_id") % 7 == 0)
+    when = F.timestamp_seconds(1_700_000_000 + F.col("page_id") * 60 + F.col("visit") * 86_400)
+    headers = F.when(F.col("visit") == 0, F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Date"), when.cast("string"))).otherwise(
+        F.create_map(F.lit("etag"), F.when(changed, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag)), F.lit("Date"), when.cast("string"), F.lit("X-Cache"), F.lit("HIT"))
+    )
+    return pages.select("page_id", "url", "html", visit).select(
+        (F.col("page_id") * 3 + F.col("visit")).alias("record_id"), "url", when.alias("warc_date"), F.when(F.col("visit") == 0, "response").otherwise("revisit").alias("kind"), headers.alias("headers"),
+        F.when(F.col("visit") == 0, F.sha2(F.coalesce("html", F.lit("")), 256)).alias("payload_digest"),
+    )
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(page_captures(_table(spark, sf_dir, "pages")))
+    return out.select("record_id", "url_key", "status", "refers_to", "payload_digest", F.to_json(F.array_sort(F.map_entries("headers"))).alias("headers"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity_scores(docs, fit(docs, labels.where(~held_out())))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(_table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,7 +103,12 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
+    "op5_embed_dedup": op5_embed_dedup,
     "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
+    "op8_warc_revisits": op8_warc_revisits,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
