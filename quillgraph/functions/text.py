@@ -93,7 +93,8 @@ def strip_fences(text: Column) -> Column:
 def json_payload(text: Column, schema: str) -> Column:
     """A payload parsed as it is, or from its first { to its last }; null where neither parses."""
     plain = strip_fences(text)
-    return F.coalesce(F.from_json(plain, schema), F.from_json(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), schema))
+    parsed = lambda t: F.when(F.get_json_object(t, "$").isNotNull(), F.from_json(t, schema))
+    return F.coalesce(parsed(plain), parsed(F.regexp_extract(plain, r"(?s)(\{.*\})", 1)))
 
 
 def tokens(text: Column) -> Column:

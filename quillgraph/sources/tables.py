@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from html.parser import HTMLParser
@@ -142,15 +143,13 @@ class _Text(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.out.append(" ".join(data.split()) if data.strip() else " " if data else "")
+            self.out.append(re.sub(r"\s+", " ", data))
 
 
 def html_to_markdown(pages: DataFrame) -> DataFrame:
     """(page_id, markdown) of raw pages; null html is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         for b in batches:
             out = []
             for html in b.html:
