@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import slices, stage
 from quillgraph.llm.words import WordEncoder
 
-CAPACITY, OPEN_BINS, UNIT = 2048, 16384, 32768
+CAPACITY, OPEN_BINS, UNIT, KEPT = 2048, 16384, 32768, 300_000
 
 
 class BestFit:
@@ -72,7 +72,7 @@ def _words(path: str) -> WordEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return WordEncoder(path, lambda words: [e.ids for i in range(0, len(words), 5000) for e in tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)])
+    return WordEncoder(path, lambda words: [e.ids for i in range(0, len(words), 5000) for e in tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)], KEPT)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end, step = _words(path), np.array([end_id], "<u4").tobytes(), capacity * 4
         for whole in batches:
-            for batch in slices(whole, "text", 2_000_000):
+            for batch in slices(whole, "text", 5_000_000):
                 ids = [x + end for x in words.encode(batch.column(1).to_pylist())]
                 rows = [(i, n, at // 4, x[at : at + step]) for i, x in enumerate(ids) for n, at in enumerate(range(0, len(x), step))]
                 yield pa.RecordBatch.from_arrays([

@@ -16,7 +16,8 @@ import regex
 
 #: White space as the Unicode property has it; str.split() also takes U+001C..U+001F, which are ordinary here.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNKS_KEPT, WORDS_KEPT, LONG = 220_000, 250_000, 200
+#: How many chunks and words one generation keeps, and from what length on none is kept.
+KEPT, LONG = 120_000, 100
 
 
 class Generations(dict):
@@ -51,7 +52,7 @@ def _unassigned() -> str:
 class WordEncoder:
     """Packed ids (little-endian unsigned 32-bit) of whole texts. ``encode_words`` gives the ids of pre-tokens."""
 
-    def __init__(self, path: str, encode_words: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, path: str, encode_words: Callable[[list[str]], list[list[int]]], kept: int = KEPT):
         with open(path, encoding="utf-8") as f:
             added = json.load(f)["added_tokens"]
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
@@ -62,12 +63,22 @@ class WordEncoder:
         self._word = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[[^{SPACE}\p{{L}}\p{{N}}]{newer}]+")
         self._space, self._separators = regex.compile(f"[{SPACE}]+"), regex.compile(r"[\x1c-\x1f]")
         self.encode_words = encode_words
-        self.chunks, self.words = Generations(CHUNKS_KEPT), Generations(WORDS_KEPT)
+        self.chunks, self.words = Generations(kept), Generations(kept)
 
     def split(self, text: str | None) -> list[str]:
+        """A text's chunks; those of Latin-1 texts without special tokens in lower case, which gives the same ids from fewer chunks."""
         if not text:
             return []
-        return [c for c in self._space.split(text) if c] if self._separators.search(text) else text.split()
+        if self._separators.search(text):
+            return [c for c in self._space.split(text) if c]
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                text = text.lower()
+        return text.split()
 
     def _parts(self, chunk: str) -> list[str]:
         out = []
