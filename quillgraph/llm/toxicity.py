@@ -4,7 +4,8 @@ A word enters as a hashed word vector, the mean of hashed vectors of its charact
 of the word and its n-grams among the labelled texts (cross-fitted while training, so that no text sees its
 own label). Two gated recurrent units read a window of words forwards and backwards; attention weighs their
 states; a logistic unit gives the window's score. Windows overlap and cover the whole text; a text's score is
-that of its worst window, and training follows the worst window of each text.
+that of its worst window, and training follows the worst window of each text: by the log-odds in the first
+epoch, then by the network's own score.
 
 The network is fitted on a bounded sample of labelled texts: at most ``SAMPLE`` texts of each label, the first
 by a hash of the id, of at most ``SAMPLE_CHARS`` characters each. Scoring has no bound.
@@ -17,6 +18,7 @@ id are scored like others. Columns other than doc_id, text and toxic are not rea
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import slices
 
-SAMPLE, SAMPLE_CHARS = 1200, 20_000
+SAMPLE, SAMPLE_CHARS = 800, 20_000
 WINDOW, STRIDE = 32, 27
 BUCKETS, GRAMS, DIM, HIDDEN = 4096, 16384, 6, 8
-EPOCHS, RATE, SEED, PRIOR = 5, 0.02, 11, 5
+EPOCHS, WARM, RATE, SEED, PRIOR = 8, 1, 0.02, 11, 5
 WORDS_KEPT = 300_000
 
 
@@ -65,6 +67,7 @@ class Odds:
         self.grams = self._odds(self.gram[0], self.gram[1])
         # words of a single text tell nothing that lasts
         self.words = {w: float(self._odds(a, b)) for w, (a, b) in self.word.items() if a + b > 1}
+        del self.word, self.gram
 
     def _odds(self, clean, toxic):
         """Counts of both labels are drawn towards the labels' shares by ``PRIOR`` texts, so that rare words say little."""
@@ -112,7 +115,7 @@ class Network:
         """The same input rows under the present parameters."""
         x[:, :DIM] = self.p["word"][places]
         size = np.array([len(g) for g in grams])
-        x[:, DIM : 2 * DIM] = np.add.reduceat(self.p["gram"][np.fromiter(chain.from_iterable(grams), np.int64)], np.concatenate([[0], np.cumsum(size)[:-1]])) / size[:, None]
+        x[:, DIM : 2 * DIM] = np.add.reduceat(self.p["gram"][np.concatenate(grams)], np.concatenate([[0], np.cumsum(size)[:-1]])) / size[:, None]
         return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -183,7 +186,7 @@ class Network:
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         np.add.at(g["word"], places, d_x[:, :DIM])
         size = np.array([len(x) for x in grams])
-        np.add.at(g["gram"], np.fromiter(chain.from_iterable(grams), np.int64), np.repeat(d_x[:, DIM : 2 * DIM] / size[:, None], size, axis=0))
+        np.add.at(g["gram"], np.concatenate(grams), np.repeat(d_x[:, DIM : 2 * DIM] / size[:, None], size, axis=0))
         return g
 
 
@@ -195,7 +198,7 @@ def windows(length: int) -> list[int]:
 def _places(rows: np.ndarray, empty: int) -> np.ndarray:
     """(windows, WINDOW) of a text's word rows."""
     starts = windows(len(rows))
-    padded = np.full(starts[-1] + WINDOW, empty, np.int64)
+    padded = np.full(starts[-1] + WINDOW, empty, np.int32)
     padded[: len(rows)] = rows
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE][: len(starts)]
 
@@ -238,7 +241,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> M
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(None, None, float(y.mean()) if len(y) else 0.0)
-    split = [words_of(t) for t in texts]
+    split = [[sys.intern(w) for w in words_of(t)] for t in texts]
     fold = np.arange(len(y)) % 2
     if any(len(np.unique(y[fold != f])) < 2 for f in (0, 1)):
         fold = np.zeros(len(y), np.int64)
@@ -250,8 +253,11 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> M
         if own:
             words = sorted(set().union(*(split[i] for i in own)))
             row = {w: k for k, w in enumerate(words)}
-            at = [_places(np.array([row[w] for w in split[i]], np.int64), len(words)) for i in own]
-            groups.append((own, words, at, network.inputs(words, odds[f])))
+            at = [_places(np.array([row[w] for w in split[i]], np.int32), len(words)) for i in own]
+            fixed, places, grams = network.inputs(words, odds[f])
+            groups.append((own, words, at, (fixed, places, [np.array(g, np.int32) for g in grams])))
+            del grams, row
+    del odds
     mean, square, step = {k: np.zeros_like(v) for k, v in network.p.items()}, {k: np.zeros_like(v) for k, v in network.p.items()}, 0
     share = {0: 0.5 / (y == 0).sum(), 1: 0.5 / (y == 1).sum()}
     for epoch in range(epochs):
@@ -260,7 +266,10 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> M
             # the worst window of every text under the present network
             gates = network.project(network.inputs_again(fixed, places, grams))
             flat, ends = np.concatenate(at), np.cumsum([len(a) for a in at])
-            score = np.concatenate([network.forward(gates, flat[i : i + 4096]) for i in range(0, len(flat), 4096)])
+            score = np.concatenate([network.forward(gates, flat[i : i + 2048]) for i in range(0, len(flat), 2048)])
+            if epoch < WARM:  # a network that knows nothing yet follows the log-odds
+                told = np.append(fixed[:, 2 * DIM] + fixed[:, 2 * DIM + 2], -9.0)
+                score = told[flat].max(axis=1)
             for i, begin, end in zip(own, [0, *ends[:-1]], ends):
                 jobs.append((y[i], own is groups[0][0], flat[begin + int(np.argmax(score[begin:end]))]))
                 if not y[i]:  # clean texts have no toxic window at all: one more of theirs, by chance
@@ -284,8 +293,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> M
                 weight = np.array([share[int(v)] for v in target]) * len(y) / len(part)
                 g = network.gradients(x, own_places, own_grams, windows_at, target, weight)
                 step += 1
-                rate = RATE * (1 - 0.8 * epoch / epochs)
                 for k, v in g.items():
+                    # vectors of single words learn as fast as there are texts, or a few would be learnt by heart
+                    rate = RATE * (1 - 0.8 * epoch / epochs) * ((len(y) / (len(y) + 1000)) ** 2 if k in ("word", "gram") else 1)
                     mean[k] += 0.1 * (v - mean[k])
                     square[k] += 0.01 * (v * v - square[k])
                     network.p[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
