@@ -75,7 +75,8 @@ def resolve_revisits(captures: DataFrame, ranges: int | None = None) -> DataFram
     found = within.where("not full").join(carried, ["url_key", "part"], "left").select("record_id", F.coalesce("near", "far")["record_id"].alias("refers_to")).where("refers_to is not null").dropDuplicates(["record_id"])
     first = rows.where("full").groupBy("record_id").agg(F.min_by(F.struct("headers", "payload_digest"), F.struct("at", "payload_digest")).alias("o"))
     originals = first.select(F.col("record_id").alias("refers_to"), F.col("o.headers").alias("old_headers"), F.col("o.payload_digest").alias("old_digest"))
-    joined = rows.join(found, "record_id", "left").join(originals, "refers_to", "left")
+    # originals are joined to what refers to them, so that captures without one never meet under a null key
+    joined = rows.join(found.join(originals, "refers_to"), "record_id", "left")
     old, new = F.col("old_headers"), F.col("headers")
     tags = _tag(old).isNotNull() & _tag(new).isNotNull()
     dates = old["last-modified"].isNotNull() & new["last-modified"].isNotNull()
