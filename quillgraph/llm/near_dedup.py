@@ -71,7 +71,7 @@ def shingle_set(words: list[bytes], hashes: np.ndarray, width: int) -> np.ndarra
         return np.empty(0, np.uint64)
     factor = _multipliers(width + 1)
     w = min(n, width)
-    total = np.full(n - w + 1, np.uint64(w) * factor[width], np.uint64)
+    total = np.full(n - w + 1, w, np.uint64) * factor[width]
     for i in range(w):
         total += hashes[i : n - w + 1 + i] * factor[i]
     return np.unique(_mix(total))

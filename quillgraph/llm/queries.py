@@ -118,7 +118,7 @@ ORACLES = {
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
         ), s AS (
             SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(words) - 1), i -> array_to_string(words[i:i + 2], ' '))) END AS shingles FROM w
+                ELSE list_distinct([array_to_string(words[i:i + 2], ' ') FOR i IN range(1, len(words) - 1)]) END AS shingles FROM w
         ), flat AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
         pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_, any_value(x.n) AS nx, any_value(y.n) AS ny FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
         link AS (SELECT a, b FROM pairs WHERE 100 * both_ >= 85 * (nx + ny - both_)),
