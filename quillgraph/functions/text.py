@@ -178,13 +178,13 @@ def legacy_label(name: Column) -> Column:
 
 
 def section_label(text: Column, fallback: str = C.GENERAL_SECTION) -> Column:
-    raw = F.trim(F.coalesce(text, F.lit("")))
-    flat = collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "\r", " "), "\n", " / "), "[*`_]+", ""))
+    """A section's name from a header or a path of headers; picture marks and empty names give the fallback."""
     edge = lambda c: F.regexp_replace(c, r"^[ \-:/]+|[ \-:/]+$", "")
-    parts = F.filter(F.transform(F.split(flat, r"[\\/]+"), edge), lambda p: p != "")
-    joined = edge(collapse(F.when(F.size(parts) > 0, F.array_join(parts, " > ")).otherwise(flat)))
-    omitted = F.lower(raw).contains("intentionally omitted") | F.lower(raw).contains("==> picture")
-    return F.when((raw == "") | omitted | (joined == ""), fallback).otherwise(joined)
+    flat = lambda raw: collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "\r", " "), "\n", " / "), "[*`_]+", ""))
+    parts = lambda f: F.filter(F.transform(F.split(f, r"[\\/]+"), edge), lambda p: p != "")
+    joined = lambda raw: let(flat(raw), lambda f: let(parts(f), lambda p: edge(collapse(F.when(F.size(p) > 0, F.array_join(p, " > ")).otherwise(f)))))
+    omitted = lambda raw: F.lower(raw).contains("intentionally omitted") | F.lower(raw).contains("==> picture")
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda raw: let(joined(raw), lambda j: F.when((raw == "") | omitted(raw) | (j == ""), fallback).otherwise(j)))
 
 
 def source_label(title: Column, file_name: Column, authority: Column) -> Column:
@@ -198,13 +198,14 @@ def source_label(title: Column, file_name: Column, authority: Column) -> Column:
 
 
 def citation_label(label: Column, section: Column) -> Column:
-    name = section_label(section)
-    return F.when(name == C.GENERAL_SECTION, label).otherwise(F.concat(label, F.lit(" — "), name))
+    return let(section_label(section), lambda name: F.when(name == C.GENERAL_SECTION, label).otherwise(F.concat(label, F.lit(" — "), name)))
 
 
 def section_title(text: Column) -> Column:
+    """The first line that is neither blank nor a context line, as a section's name of 120 characters at most."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("[CONTEXT:"))
-    return F.when(F.size(lines) == 0, C.GENERAL_SECTION).otherwise(F.substring(section_label(F.regexp_replace(F.get(lines, F.lit(0)), r"^#+\s*", "")), 1, 120))
+    first = let(lines, lambda ls: F.when(F.size(ls) > 0, ls[0]).otherwise(""))
+    return F.substring(section_label(F.regexp_replace(first, r"^#+\s*", "")), 1, 120)
 
 
 def strip_context(text: Column) -> Column:
@@ -213,10 +214,9 @@ def strip_context(text: Column) -> Column:
 
 
 def fallback_context(source: Column, section: Column) -> Column:
-    about = F.coalesce(section, F.lit(""))
-    return F.when((about != "") & (about != C.GENERAL_SECTION), F.concat(F.lit("This passage is from "), source, F.lit(" and focuses on "), about, F.lit(" in a mental health reference."))).otherwise(
-        F.concat(F.lit("This passage is from "), source, F.lit(" and provides mental health reference context."))
-    )
+    """The deterministic context sentence."""
+    told = lambda about: F.when((about != "") & (about != C.GENERAL_SECTION), F.concat(F.lit(" and focuses on "), about, F.lit(" in a mental health reference."))).otherwise(" and provides mental health reference context.")
+    return F.concat(F.lit("This passage is from "), source, let(F.coalesce(section, F.lit("")), told))
 
 
 def relation_line(relation: Column, name: Column, description: Column, strength: Column) -> Column:

@@ -195,3 +195,32 @@ def structural_checks(entities: DataFrame, relations: DataFrame) -> DataFrame:
     ):
         out = out.unionByName(zero(df, label))
     return out
+
+
+def condition_aliases(entities: DataFrame) -> DataFrame:
+    """(target, aliases): the normalised names by which each condition may stand in a text, abbreviations among them."""
+    from quillgraph.config import ABBREVIATIONS
+
+    short = entities.sparkSession.createDataFrame(list(ABBREVIATIONS.items()), "alias string, target string")
+    own = entities.where("label = 'CONDITION'").select(F.col("name").alias("target"))
+    both = own.select("target", T.normalize_name(F.col("target")).alias("alias")).unionByName(own.join(F.broadcast(short), "target").select("target", "alias"))
+    return both.groupBy("target").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def repair_graph(state: tuple[DataFrame, DataFrame], chunks: DataFrame, targets: list[dict], extract, ontology: Ontology = CLINICAL) -> tuple[DataFrame, DataFrame]:
+    """The graph after its repair targets, one after another, since each builds on the last; then cleaned.
+
+    A target has ``condition``, ``relations`` and ``hints``; ``extract`` turns its best chunks (chunk_seq, chunk_id, text)
+    into payloads (chunk_seq, chunk_id, payload). Only relations from the condition that the target asks for are taken.
+    """
+    spark = chunks.sparkSession
+    for target in targets:
+        aliases = [r.aliases for r in condition_aliases(state[0]).where(F.col("target") == target["condition"]).collect()] or [[target["condition"]]]
+        table = spark.createDataFrame([(target["condition"], aliases[0], target["hints"])], "target string, aliases array<string>, hints array<string>")
+        best = select_repair_chunks(repair_scores(chunks, table))
+        raw_entities, raw_relations = explode_payloads(extract(chunks.join(best.select("chunk_seq"), "chunk_seq", "left_semi")))
+        named = named_entities(raw_entities)
+        order = lambda df: df.withColumn("ord", F.col("ord.chunk_seq") * 1000 + F.col("ord.pos"))
+        wanted = fold_relations(named, raw_relations, ontology).where((F.col("subject") == target["condition"]) & F.col("relation").isin(target["relations"]))
+        state = upsert(state, (order(fold_entities(named, ontology)), order(wanted)), ontology)
+    return clean_graph(*state, ontology)

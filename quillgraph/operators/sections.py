@@ -62,7 +62,8 @@ def rebuild(sections: DataFrame) -> DataFrame:
 
 def filter_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks (text, header_path, ...) with quality, keep and reason."""
-    return chunks.withColumn("quality", P.chunk_quality(F.col("text"), F.col("header_path"))).withColumn("reason", P.keep_reason(F.col("quality"))).withColumn("keep", F.col("reason") == "ok")
+    out = chunks.withColumn("quality", P.chunk_quality(F.col("text"), F.col("header_path"))).withColumn("reason", P.keep_reason(F.col("quality")))
+    return out.withColumn("keep", F.col("reason") == "ok")
 
 
 def enrich(chunks: DataFrame) -> DataFrame:
@@ -72,6 +73,6 @@ def enrich(chunks: DataFrame) -> DataFrame:
     """
     title = F.when(F.coalesce("header_path", F.lit("/")) == "/", T.section_title(F.col("text"))).otherwise(T.section_label(F.col("header_path")))
     out = chunks.withColumn("original_text", T.strip_context(F.col("text"))).withColumn("section_title", title)
-    tag = T.fallback_context(F.col("source_label"), F.col("section_title"))
-    out = out.withColumn("context_tag", F.when(tag.rlike("[.!?]$"), tag).otherwise(F.concat(tag, F.lit("."))))
+    ended = lambda tag: F.when(tag.rlike("[.!?]$"), tag).otherwise(F.concat(tag, F.lit(".")))
+    out = out.withColumn("context_tag", T.let(T.fallback_context(F.col("source_label"), F.col("section_title")), ended))
     return out.withColumn("citation", T.citation_label(F.col("source_label"), F.col("section_title"))).withColumn("text", F.concat(F.lit("[CONTEXT: "), "context_tag", F.lit("]\n\n"), "original_text"))

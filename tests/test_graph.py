@@ -144,3 +144,25 @@ def test_sources(spark, tmp_path):
     pages = spark.createDataFrame([(1, "<html><nav>menu</nav><h1>Head</h1><div class='ad'>buy</div><p>Some <b>text</b></p><script>x</script></html>"), (2, None)], "page_id bigint, html string")
     got = {r.page_id: r.markdown for r in S.html_to_markdown(pages).collect()}
     assert got[1].startswith("# Head") and "Some text" in got[1] and "buy" not in got[1] and "menu" not in got[1] and got[2] == ""
+
+
+def test_build_save_and_ask(spark, tmp_path):
+    from quillgraph.plans.engine import Engine, build
+
+    text = "# Depression\n" + "Depression is a clinical condition with low energy. " * 5
+    docs = spark.createDataFrame([(1, text, "WHO: Depression")], "doc_id bigint, text string, source_label string")
+    told = json.dumps({"entities": [{"id": "a", "name": "depression", "type": "CONDITION", "description": ""}, {"id": "b", "name": "fatigue", "type": "SYMPTOM", "description": ""}], "relations": [{"source": "a", "target": "b", "relation": "HAS_SYMPTOM", "description": "tired", "strength": "high"}]})
+    tables = build(docs, lambda chunks: chunks.select("chunk_seq", "chunk_id", F.lit(told).alias("payload")))
+    S.save_graph(tables, str(tmp_path / "g"))
+    engine = Engine(spark, str(tmp_path / "g"))
+    (answer,) = engine.query(spark.createDataFrame([(1, "What are the symptoms of depression?")], "qid bigint, question string")).collect()
+    assert "- FATIGUE (strength 8)" in answer.answer and answer.citations == "WHO: Depression — Depression"
+    assert all(r.passed for r in engine.health().collect())
+
+
+def test_repair(spark):
+    e, r, _ = demo_graph(spark)
+    chunks = spark.createDataFrame([(0, "k0", "Panic disorder: prevalence", "", "The prevalence of panic disorder is three in a hundred."), (9, "k9", "other", "", "nothing here")], "chunk_seq bigint, chunk_id string, section string, context string, text string")
+    told = json.dumps({"entities": [{"id": "a", "name": "panic disorder", "type": "CONDITION", "description": ""}, {"id": "b", "name": "prevalence", "type": "PREVALENCE_STATEMENT", "description": "Three in a hundred."}], "relations": [{"source": "a", "target": "b", "relation": "HAS_PREVALENCE", "description": "x", "strength": 7}]})
+    _, relations = G.repair_graph((e, r), chunks, [{"condition": "PANIC DISORDER", "relations": ["HAS_PREVALENCE"], "hints": ["prevalence"]}], lambda c: c.select("chunk_seq", "chunk_id", F.lit(told).alias("payload")))
+    assert [(x.target, x.strength, x.sources) for x in relations.where("subject = 'PANIC DISORDER' and relation = 'HAS_PREVALENCE'").collect()] == [("THREE IN A HUNDRED", 7, ["k0"])]
