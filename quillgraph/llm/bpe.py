@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from quillgraph.llm.common import slices
 from quillgraph.llm.words import WordEncoder
 
-END = "\ue000"
+END, PAIRS_KEPT = "\ue000", 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -49,12 +49,7 @@ class Vocabulary:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
-        for token, i in [*self.vocab.items(), *self.special.items()]:
-            self.tokens[i] = token
-        never = len(self.tokens) * 4
-        self.never = never
+        self.never = 4 * len(self.vocab)
         self.merge_rank: dict[int, dict[int, int]] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
@@ -120,7 +115,7 @@ class Vocabulary:
         pair = left << 20 | right
         known = self._compatible.get(pair)
         if known is None:
-            if len(self._compatible) > 1_000_000:
+            if len(self._compatible) > PAIRS_KEPT:
                 self._compatible.clear()
             known = self._compatible[pair] = not self.clash(left, right, self.never)
         return known
@@ -154,8 +149,22 @@ class Vocabulary:
         """The ids of texts as little-endian unsigned 32-bit integers."""
         return self.texts.encode(texts)
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+@lru_cache(2)
+def token_list(path: str) -> list[str]:
+    """The tokens of a file by id, special ones included; all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    out = [""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = token
+    return out
+
+
+def decode(ids: bytes, tokens: list[str]) -> str:
+    """Tokens joined by spaces."""
+    return " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(2)
@@ -170,7 +179,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
+            for batch in slices(whole, "text", 3_000_000):
                 ids = vocab.encode(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -181,10 +190,10 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): tokens joined by spaces, as a tokenizer without a decoder has it, special tokens kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        tokens = token_list(path)
         for whole in batches:
             for batch in slices(whole, "ids", 8_000_000):
-                text = [None if x is None else vocab.decode(x) for x in batch.column(1).to_pylist()]
+                text = [None if x is None else decode(x, tokens) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
