@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import CLINICAL, Ontology
 from quillgraph.functions import text as T
+from quillgraph.operators.communities import staged
 
 PAYLOAD = "struct<entities:array<struct<id:string,name:string,type:string,description:string>>,relations:array<struct<source:string,target:string,relation:string,description:string,strength:string>>>"
 
@@ -217,10 +218,11 @@ def repair_graph(state: tuple[DataFrame, DataFrame], chunks: DataFrame, targets:
     for target in targets:
         aliases = [r.aliases for r in condition_aliases(state[0]).where(F.col("target") == target["condition"]).collect()] or [[target["condition"]]]
         table = spark.createDataFrame([(target["condition"], aliases[0], target["hints"])], "target string, aliases array<string>, hints array<string>")
-        best = select_repair_chunks(repair_scores(chunks, table))
+        best = select_repair_chunks(staged(repair_scores(chunks, table)))
         raw_entities, raw_relations = explode_payloads(extract(chunks.join(best.select("chunk_seq"), "chunk_seq", "left_semi")))
-        named = named_entities(raw_entities)
+        named = staged(named_entities(raw_entities))
         order = lambda df: df.withColumn("ord", F.col("ord.chunk_seq") * 1000 + F.col("ord.pos"))
-        wanted = fold_relations(named, raw_relations, ontology).where((F.col("subject") == target["condition"]) & F.col("relation").isin(target["relations"]))
-        state = upsert(state, (order(fold_entities(named, ontology)), order(wanted)), ontology)
+        wanted = staged(fold_relations(named, raw_relations, ontology)).where((F.col("subject") == target["condition"]) & F.col("relation").isin(target["relations"]))
+        entities, relations = upsert(state, (order(staged(fold_entities(named, ontology))), order(wanted)), ontology)
+        state = staged(entities), staged(relations)
     return clean_graph(*state, ontology)
