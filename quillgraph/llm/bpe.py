@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import slices
-from quillgraph.llm.words import WordEncoder
+from quillgraph.llm.words import WordEncoder, packed
 
 END, PAIRS_KEPT = "\ue000", 400_000
 
@@ -69,7 +70,7 @@ class Vocabulary:
         self._whole: dict[int, bool] = {}
         self._left_edge: dict[int, list[tuple[int, int, int]]] = {}
         self._right_edge: dict[int, list[tuple[int, int, int]]] = {}
-        self.texts = WordEncoder(path, lambda words: [self.word_ids(w) for w in words])
+        self.texts = WordEncoder(path, self.words_ids)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """(token, rank that made it, rank that used it up) of the pieces that once lay at one edge of ``token``."""
@@ -145,6 +146,11 @@ class Vocabulary:
             i -= size[i]
         return out[::-1]
 
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """The packed ids of pre-tokens."""
+        ids = [self.word_ids(w) for w in words]
+        return packed(np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([len(x) for x in ids]))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of texts as little-endian unsigned 32-bit integers."""
         return self.texts.encode(texts)

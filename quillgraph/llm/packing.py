@@ -15,6 +15,7 @@ doc_id, piece and row. An empty table gives no rows. Further columns are not rea
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import slices, stage
-from quillgraph.llm.words import WordEncoder
+from quillgraph.llm.words import WordEncoder, packed
 
 CAPACITY, OPEN_BINS, UNIT, KEPT = 2048, 16384, 32768, 300_000
 
@@ -72,7 +73,25 @@ def _words(path: str) -> WordEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return WordEncoder(path, lambda words: [e.ids for i in range(0, len(words), 5000) for e in tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)], KEPT)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        """Words go as one text of many, which is cut after the ids that end a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) != len(part):  # a word that the library sees as two
+                each = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids, ends = np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
+            out += packed(ids, ends)
+        return out
+
+    return WordEncoder(path, encode, KEPT)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

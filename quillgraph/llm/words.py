@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -40,6 +41,12 @@ class Generations(dict):
         return list(missing.difference(known))
 
 
+def packed(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids of words that end at these places, each word's little-endian unsigned 32-bit."""
+    flat, stops = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+    return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+
 def _unassigned() -> str:
     """Code points that the pattern library counts as letters or numbers while the tokenizers library, with older tables, does not."""
     from tokenizers import Regex, pre_tokenizers
@@ -50,9 +57,9 @@ def _unassigned() -> str:
 
 
 class WordEncoder:
-    """Packed ids (little-endian unsigned 32-bit) of whole texts. ``encode_words`` gives the ids of pre-tokens."""
+    """Packed ids (little-endian unsigned 32-bit) of whole texts. ``encode_words`` gives the packed ids of pre-tokens."""
 
-    def __init__(self, path: str, encode_words: Callable[[list[str]], list[list[int]]], kept: int = KEPT):
+    def __init__(self, path: str, encode_words: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         with open(path, encoding="utf-8") as f:
             added = json.load(f)["added_tokens"]
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
@@ -81,6 +88,11 @@ class WordEncoder:
         return text.split()
 
     def _parts(self, chunk: str) -> list[str]:
+        if chunk.isascii():  # nearly all chunks: a word, with a stop or without
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in ",." and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
         out = []
         for part in self._special.split(chunk) if self._special and "<" in chunk else (chunk,):
             if part in self.special:
@@ -101,10 +113,11 @@ class WordEncoder:
         split = [self.split(t) for t in texts]
         new = self.chunks.fresh(set().union(*split))
         parts = [self._parts(c) for c in new]
-        words = self.words.fresh(set().union(*parts).difference(self.special))
-        for word, ids in zip(words, self.encode_words(words)):
-            self.words[word] = np.array(ids, "<u4").tobytes()
-        known = {**self.words, **self.special} if any(s in p for p in parts for s in self.special) else self.words
+        wanted = set(chain.from_iterable(parts))
+        special = wanted.intersection(self.special)
+        words = self.words.fresh(wanted.difference(special))
+        self.words.update(zip(words, self.encode_words(words)))
+        known = {**self.words, **self.special} if special else self.words
         for chunk, own in zip(new, parts):
             self.chunks[chunk] = known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own])
         out = [b"".join(map(self.chunks.__getitem__, s)) for s in split]
