@@ -10,6 +10,9 @@ Training fits a few small trees on a bounded table of labelled findings (value,
 one is made by rule from hashes of row numbers, at most ``FINDINGS`` rows. Features of findings and of candidates come from
 the same expressions.
 
+A value has no largest length. One of more than ``PIECE`` characters is described in pieces of that length, since
+shares of characters mean little in longer ones; its score is its highest piece's, and it is reported and redacted whole.
+
 Defined results: null and empty texts have no candidates; equal values in a text are one candidate, judged where
 they first stand, and are all redacted; ties go by the value's order; rows repeat as they are; columns other than
 doc_id and text pass through ``redact_secrets`` unchanged, whatever their names.
@@ -23,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINDINGS, TREES, DEPTH, SEED, THRESHOLD, CONTEXT = 2400, 9, 5, 3, 0.5, 48
+FINDINGS, TREES, DEPTH, SEED, THRESHOLD, CONTEXT, PIECE = 2400, 9, 5, 3, 0.5, 48, 200
 REDACTED = "[SECRET]"
 #: Names that announce a secret, and words that stand by harmless values of the same look.
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key"
@@ -31,8 +34,9 @@ HARMLESS = r"example|sample|dummy|placeholder|test|sha1|sha256|md5|checksum|dige
 #: Common words and word parts that random strings rarely hold.
 DICTIONARY = "about account after and any build change check code config data default demo document error example file first for from group hello home image index info into item key last line link list local login main message model name network news number object open order page part pass password path phone photo place port post press print public query read report request sample secret server service session set sign start state string system table temp test text the this time title token type update upload user value version video view with word work world your".split()
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk_(?:live|test)_|^xox[abpr]-|^AIza|^eyJ"
-RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,200}={0,2}"
-ASSIGNED = rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?([^\s\"',;<>]{{6,200}})"
+RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: The value is looked at, not taken, so that an assignment within a longer value is a match too.
+ASSIGNED = rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=([^\s\"',;<>]{{6,}}))"
 
 
 def candidates(text: Column) -> Column:
@@ -48,7 +52,7 @@ def candidates(text: Column) -> Column:
     return F.transform(F.coalesce(values, F.array().cast("array<string>")), described)
 
 
-def features(c: Column) -> list[tuple[str, Column]]:
+def features(c: Column | dict[str, Column]) -> list[tuple[str, Column]]:
     """Numbers that describe a candidate (value, before, after)."""
     value, before, after = c["value"], c["before"], c["after"]
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
@@ -150,17 +154,25 @@ def _compiled(tree: Tree, x: Column) -> Column:
     return F.when(x[tree.feature] <= tree.limit, _compiled(tree.low, x)).otherwise(_compiled(tree.high, x))
 
 
+def pieces(value: Column) -> Column:
+    """A value in pieces of ``PIECE`` characters that cover it, the last one up to its end; shorter values are one piece."""
+    cut = F.concat(F.regexp_extract_all(value, F.lit(f"(?s).{{{PIECE}}}"), F.lit(0)), F.array(F.right(value, F.lit(PIECE))))
+    return F.when(F.length(value) <= PIECE, F.array(value)).otherwise(cut)
+
+
 def findings(text: Column, forest: list[Tree]) -> Column:
     """array<struct<value, score>> of all candidates of a text, by value."""
-    described = F.transform(candidates(text), lambda c: F.struct(c["value"].alias("value"), F.array(*(e for _, e in features(c))).alias("x")))
-
     def scored(c: Column) -> Column:
+        x = F.transform(pieces(c["value"]), lambda p: F.array(*(e for _, e in features({"value": p, "before": c["before"], "after": c["after"]}))))
+        return F.struct(c["value"].alias("value"), F.array_max(F.transform(x, voted)).alias("score"))
+
+    def voted(x: Column) -> Column:
         total = F.lit(0.0)
         for tree in forest:
-            total = total + _compiled(tree, c["x"])
-        return F.struct(c["value"].alias("value"), (total / len(forest)).alias("score"))
+            total = total + _compiled(tree, x)
+        return total / len(forest)
 
-    return F.transform(described, scored)
+    return F.transform(candidates(text), scored)
 
 
 def scan_secrets(docs: DataFrame, forest: list[Tree] | None = None, threshold: float = THRESHOLD) -> DataFrame:
