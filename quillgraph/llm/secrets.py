@@ -13,8 +13,8 @@ the same expressions.
 A value has no largest length. One of more than ``PIECE`` characters is described in pieces of that length, since
 shares of characters mean little in longer ones; its score is its highest piece's, and it is reported and redacted whole.
 
-Defined results: null and empty texts have no candidates; equal values in a text are one candidate, judged where
-they first stand, and are all redacted; ties go by the value's order; rows repeat as they are; columns other than
+Defined results: null and empty texts have no candidates; equal values in a text are one candidate, judged
+everywhere they stand by the words about each place: the highest score holds, and all are redacted; ties go by the value's order; rows repeat as they are; columns other than
 doc_id and text pass through ``redact_secrets`` unchanged, whatever their names.
 """
 
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINDINGS, TREES, DEPTH, SEED, THRESHOLD, CONTEXT, PIECE = 2400, 9, 5, 3, 0.5, 48, 200
+FINDINGS, TREES, DEPTH, SEED, THRESHOLD, CONTEXT, PIECE, SHORTEST = 2400, 9, 5, 3, 0.5, 48, 200, 4
 REDACTED = "[SECRET]"
 #: Names that announce a secret, and words that stand by harmless values of the same look.
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key"
@@ -34,22 +34,43 @@ HARMLESS = r"example|sample|dummy|placeholder|test|sha1|sha256|md5|checksum|dige
 #: Common words and word parts that random strings rarely hold.
 DICTIONARY = "about account after and any build change check code config data default demo document error example file first for from group hello home image index info into item key last line link list local login main message model name network news number object open order page part pass password path phone photo place port post press print public query read report request sample secret server service session set sign start state string system table temp test text the this time title token type update upload user value version video view with word work world your".split()
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk_(?:live|test)_|^xox[abpr]-|^AIza|^eyJ"
-RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}"
+AFTER = rf"(?=((?s:.{{0,{CONTEXT}}})))"
+RUN = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}={0,2})" + AFTER
 #: The value is looked at, not taken, so that an assignment within a longer value is a match too.
-ASSIGNED = rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=([^\s\"',;<>]{{6,}}))"
+ASSIGNED = rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=([^\s\"',;<>]{{6,}}){AFTER})"
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<value, before, after>> of a text, by value."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda v: v.rlike("[0-9]"))
-    values = F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), runs)))
+    """array<struct<value, before, after>> of a text, one for each place where a candidate stands."""
+    runs = F.filter(_matches(text, RUN, True), lambda c: c["value"].rlike("[0-9]"))
+    return F.concat(_matches(text, ASSIGNED, False), runs)
 
-    def described(v: Column) -> Column:
-        at = F.call_function("instr", text, v)
-        begin = F.greatest(at - CONTEXT, F.lit(1))
-        return F.struct(v.alias("value"), F.substring(text, begin, at - begin).alias("before"), F.substring(text, at + F.length(v), F.lit(CONTEXT)).alias("after"))
 
-    return F.transform(F.coalesce(values, F.array().cast("array<string>")), described)
+def _matches(text: Column, pattern: str, taken: bool) -> Column:
+    """Candidates by the groups 1 (value) and 2 (after); the value is ``taken`` by the match or follows it.
+
+    What stands before is joined from the ends of the text's parts, matched and unmatched, up to the value: each part
+    is read a bounded number of times, however many matches there are. No match takes fewer than ``SHORTEST`` characters.
+    """
+    group = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
+    end = lambda part: F.right(part, F.lit(CONTEXT))
+    most = 2 * (CONTEXT // SHORTEST + 1)
+
+    def parts(m: Column) -> Column:
+        return F.flatten(F.transform(m["between"], lambda b, i: F.array(end(b), end(F.coalesce(F.get(m["matched"], i), F.lit(""))))))
+
+    def described(m: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            upto = 2 * i + (1 if taken else 2)
+            before = end(F.array_join(F.slice(m["parts"], F.greatest(upto - most, F.lit(0)) + 1, F.least(upto, F.lit(most))), ""))
+            return F.struct(v.alias("value"), before.alias("before"), F.get(m["after"], i).alias("after"))
+
+        return F.transform(m["value"], one)
+
+    # arrays of one bind what is worked out once for a text
+    found = F.array(F.struct(F.split(text, pattern, -1).alias("between"), group(0).alias("matched"), group(1).alias("value"), group(2).alias("after")))
+    found = F.transform(found, lambda m: F.struct(parts(m).alias("parts"), m["value"].alias("value"), m["after"].alias("after")))
+    return F.coalesce(F.flatten(F.transform(found, described)), F.array().cast("array<struct<value:string,before:string,after:string>>"))
 
 
 def features(c: Column | dict[str, Column]) -> list[tuple[str, Column]]:
@@ -172,7 +193,9 @@ def findings(text: Column, forest: list[Tree]) -> Column:
             total = total + _compiled(tree, x)
         return total / len(forest)
 
-    return F.transform(candidates(text), scored)
+    # of equal values the last has the highest score
+    each = F.array(F.array_sort(F.transform(candidates(text), scored)))
+    return F.flatten(F.transform(each, lambda fs: F.filter(fs, lambda f, i: ~F.coalesce(F.get(fs, i + 1)["value"] == f["value"], F.lit(False)))))
 
 
 def scan_secrets(docs: DataFrame, forest: list[Tree] | None = None, threshold: float = THRESHOLD) -> DataFrame:

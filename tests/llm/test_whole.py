@@ -2,8 +2,11 @@
 
 import base64
 import random
+import re
 
-from quillgraph.llm.secrets import labelled_findings, redact_secrets, scan_secrets, train_forest
+from pyspark.sql import functions as F
+
+from quillgraph.llm.secrets import ASSIGNED, RUN, candidates, labelled_findings, redact_secrets, scan_secrets, train_forest
 
 
 def texts_of(spark, texts):
@@ -20,3 +23,22 @@ def test_long_secrets_are_reported_and_redacted_whole(spark):
     assert got == {0: [key], 1: [hexadecimal], 2: ["b7db7aa4a5fcc78305"], 3: []}
     clean = {r.doc_id: r.text for r in redact_secrets(docs, forest).collect()}
     assert clean[0] == "key [SECRET] end" and clean[1] == "token=[SECRET] z" and clean[2].endswith("&password=[SECRET]")
+
+
+def test_every_occurrence_of_a_secret_is_judged(spark):
+    value = "0641917ea4e9feb9cda83477b57ac2654884f485"
+    late = [f"commit {value} then token={value}", f"sha1: {value} and password = {value} .", f"x{value}x " + "word " * 30 + f'secret: "{value}"', f"commit {value} and commit {value}"]
+    docs = texts_of(spark, [*late, "\U0001f600" * 60 + f' token="{value}"', f"{'a=1 ' * 40}token={value}", None, ""])
+    forest = train_forest(labelled_findings(spark))
+    got = {r.doc_id: (r.n_candidates, r.secrets) for r in scan_secrets(docs, forest).collect()}
+    assert [got[i] for i in (0, 1, 3, 4, 5, 6, 7)] == [(1, [value]), (1, [value]), (1, []), (1, [value]), (1, [value]), (0, []), (0, [])] and value in got[2][1]
+    clean = {r.doc_id: r.text for r in redact_secrets(docs, forest).collect()}
+    assert clean[0] == "commit [SECRET] then token=[SECRET]" and value not in clean[1] + clean[2] + clean[4] + clean[5] and clean[3] == late[3]
+
+
+def test_contexts_of_all_places(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["token=abc123def", "pwd=pwd=x1y2z3w", "deadbeef00112233445566", "w", "\U0001f600", "auth: 'q1w2e3r4t5y6u7'", "\n"]) for _ in range(200))
+    found = texts_of(spark, [text]).select(candidates(F.col("text")).alias("c")).first().c
+    places = [(m[1], m.start(1)) for m in re.finditer(ASSIGNED, text)] + [(m[1], m.start(1)) for m in re.finditer(RUN, text) if re.search("[0-9]", m[1])]
+    assert len(places) > 100 and [tuple(c) for c in found] == [(v, text[max(0, at - 48) : at], text[at + len(v) :][:48]) for v, at in places]
