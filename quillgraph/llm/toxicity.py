@@ -3,8 +3,9 @@
 A word enters as a hashed word vector, the mean of hashed vectors of its character n-grams, and the log-odds
 of the word and its n-grams among the labelled texts (cross-fitted while training, so that no text sees its
 own label). Two gated recurrent units read a window of words forwards and backwards; attention weighs their
-states; a logistic unit gives the window's score. Windows overlap and cover the whole text; a text's score is
-that of its worst window, and training follows the worst window of each text: by the log-odds in the first
+states; a logistic unit gives the window's score. Windows begin every ``STRIDE`` words, half their length, and
+cover the whole text, so a passage of ``WINDOW - STRIDE + 1`` words or fewer lies whole in one wherever it stands;
+a text's score is that of its worst window, and training follows the worst window of each text: by the log-odds in the first
 epoch, then by the network's own score.
 
 The network is fitted on a bounded sample of labelled texts: at most ``SAMPLE`` texts of each label, the first
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import slices
 
 SAMPLE, SAMPLE_CHARS = 800, 20_000
-WINDOW, STRIDE = 32, 27
+WINDOW, STRIDE = 32, 16
 BUCKETS, GRAMS, DIM, HIDDEN = 4096, 16384, 6, 8
 EPOCHS, WARM, RATE, SEED, PRIOR = 8, 1, 0.02, 11, 5
 WORDS_KEPT = 300_000

@@ -4,8 +4,10 @@ import base64
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from quillgraph.llm import toxicity
 from quillgraph.llm.secrets import ASSIGNED, RUN, candidates, labelled_findings, redact_secrets, scan_secrets, train_forest
 
 
@@ -42,3 +44,11 @@ def test_contexts_of_all_places(spark):
     found = texts_of(spark, [text]).select(candidates(F.col("text")).alias("c")).first().c
     places = [(m[1], m.start(1)) for m in re.finditer(ASSIGNED, text)] + [(m[1], m.start(1)) for m in re.finditer(RUN, text) if re.search("[0-9]", m[1])]
     assert len(places) > 100 and [tuple(c) for c in found] == [(v, text[max(0, at - 48) : at], text[at + len(v) :][:48]) for v, at in places]
+
+
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for length in (1, 16, 17, 32, 33, 48, 200, 331):
+        at = toxicity._places(np.arange(length), -1)
+        for begin in range(max(1, length - 16)):
+            passage = set(range(begin, min(length, begin + 17)))
+            assert any(passage <= set(row) for row in at.tolist()), (length, begin)
