@@ -6,8 +6,8 @@ hosts with blocked urls, against the links, since a page answers for what it poi
 ``block`` when its distrust outweighs its trust by more than ``threshold``.
 
 Urls are folded to one row for each host before any shuffle, edges to one row for each pair of hosts, so a
-host with a third of all pages is one combined row for each task. Each step of the iteration joins the edges
-with the ranks of hosts; ranks are staged in the shared folder, where every executor can read them.
+host with a third of all pages is one combined row for each task. Each step of the iteration, of which there are as
+many as it takes to settle, joins the edges with the ranks of hosts; ranks are staged in the shared folder, where every executor can read them.
 
 Defined results: a null url or one without ``://`` has an empty host and path and no rule, and its verdict is
 that of the empty host: allow, unless links say otherwise. Null html has no links. Repeated rows are judged
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import discard, stage
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.0
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 12, 1e-8, 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,20 +55,27 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): personalised PageRank of ``seeds`` (host, seed; shares that sum to 1) along ``edges`` (src, dst, share).
 
-    Rank that no edge carries on goes back to the seeds. One stage per round holds a row for each host.
+    Rank that no edge carries on goes back to the seeds. One stage per round holds a row for each host. At least ``rounds``
+    rounds are made, then more until one changes the ranks by ``tolerance`` or less, summed over hosts, and brings rank to
+    no further host. So every host that a way leads to has some rank, however far from the seeds it is.
     """
     ranks = stage(seeds.select("host", "seed", F.col("seed").alias("rank")), "url_ranks")
-    for _ in range(rounds):
+    made = 0
+    while True:
         moved = edges.join(ranks, edges.src == ranks.host).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
-        joined = ranks.select("host", "seed").join(moved, F.col("host") == F.col("dst"), "left").select("host", "seed", (damping * F.coalesce("came", F.lit(0.0))).alias("came"))
+        joined = ranks.select("host", "seed", F.col("rank").alias("was")).join(moved, F.col("host") == F.col("dst"), "left").select("host", "seed", "was", (damping * F.coalesce("came", F.lit(0.0))).alias("came"))
         lost = joined.agg((1 - F.coalesce(F.sum("came"), F.lit(0.0))).alias("rest"))
-        new = stage(joined.join(F.broadcast(lost)).select("host", "seed", (F.col("came") + F.col("rest") * F.col("seed")).alias("rank")), "url_ranks")
+        new = stage(joined.join(F.broadcast(lost)).select("host", "seed", "was", (F.col("came") + F.col("rest") * F.col("seed")).alias("rank")), "url_ranks")
         discard(ranks)
+        made += 1
         ranks = new
-    return ranks
+        if made >= rounds:
+            step = new.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)).alias("change"), F.count_if((F.col("was") == 0) & (F.col("rank") > 0)).alias("reached")).first()
+            if step.change <= tolerance and not step.reached:
+                return ranks
 
 
 def _shares(hosts: DataFrame, weight: str) -> DataFrame:

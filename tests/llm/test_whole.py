@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillgraph.llm import toxicity
+from quillgraph.llm.queries import URL_RULES
 from quillgraph.llm.secrets import ASSIGNED, RUN, candidates, labelled_findings, redact_secrets, scan_secrets, train_forest
+from quillgraph.llm.url_filter import judge_urls, spread
 
 
 def texts_of(spark, texts):
@@ -52,3 +54,26 @@ def test_passages_of_half_a_window_lie_whole_in_one():
         for begin in range(max(1, length - 16)):
             passage = set(range(begin, min(length, begin + 17)))
             assert any(passage <= set(row) for row in at.tolist()), (length, begin)
+
+
+def test_distrust_reaches_hosts_at_any_distance(spark):
+    chain = [f"h{i}.org" for i in range(18)] + ["x.net"]
+    pages = [(i, f"https://{a}/p", f'<a href="https://{b}/p">y</a>') for i, (a, b) in enumerate(zip(chain, chain[1:]))]
+    pages += [(50, "https://x.net/es/1", ""), (51, "https://alone.org/p", "")]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string"), URL_RULES).collect()}
+    assert got == {**{i: "block" for i in range(18)}, 50: "block", 51: "allow"}
+
+
+def test_ranks_settle(spark):
+    rng, n = random.Random(2), 30
+    links = sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(60)})
+    out = {a: sum(x == a for x, _ in links) for a, _ in links}
+    seed = {f"n{i}": 0.5 if i < 2 else 0.0 for i in range(n)}
+    rank = dict(seed)
+    for _ in range(400):
+        came = {h: 0.85 * sum(rank[a] / out[a] for a, b in links if b == h) for h in seed}
+        rest = 1 - sum(came.values())
+        rank = {h: came[h] + rest * seed[h] for h in seed}
+    edges = spark.createDataFrame([(a, b, 1 / out[a]) for a, b in links], "src string, dst string, share double")
+    got = {r.host: r.rank for r in spread(spark.createDataFrame(list(seed.items()), "host string, seed double"), edges).collect()}
+    assert max(abs(got[h] - rank[h]) for h in seed) < 1e-7
