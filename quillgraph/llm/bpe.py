@@ -23,10 +23,11 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import slices
-from quillgraph.llm.words import WordEncoder, packed
+from quillgraph.llm.words import PART, WordEncoder, packed, parts
 
 END, PAIRS_KEPT = "\ue000", 400_000
 
@@ -146,14 +147,20 @@ class Vocabulary:
             i -= size[i]
         return out[::-1]
 
-    def words_ids(self, words: list[str]) -> list[bytes]:
-        """The packed ids of pre-tokens."""
+    def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pre-tokens end to end, how many each has)."""
         ids = [self.word_ids(w) for w in words]
-        return packed(np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([len(x) for x in ids]))
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of texts as little-endian unsigned 32-bit integers."""
-        return self.texts.encode(texts)
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as little-endian unsigned 32-bit integers; a long text goes in parts."""
+        out, ends, begun = [], [], 0
+        for part, going in parts(texts):
+            ids, stops = self.texts.encode(part)
+            out.append(ids)
+            ends.append(stops[: len(stops) - going] + begun)
+            begun += len(ids)
+        return packed(np.concatenate(out), np.concatenate(ends)) if out else pa.array([], pa.binary())
 
 
 @lru_cache(2)
@@ -168,9 +175,13 @@ def token_list(path: str) -> list[str]:
     return out
 
 
-def decode(ids: bytes, tokens: list[str]) -> str:
-    """Tokens joined by spaces."""
-    return " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decode(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """Each row's tokens joined by spaces; null for null."""
+    size = pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False) // 4
+    flat = np.frombuffer(b"".join(x.as_buffer() for x in ids if x.is_valid), "<u4")
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), tokens.take(pa.array(flat)))
+    joined = pc.binary_join(lists, pa.scalar(" ", tokens.type)).cast(pa.string())
+    return pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.string())) if ids.null_count else joined
 
 
 @lru_cache(2)
@@ -185,9 +196,8 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole, "text", 3_000_000):
-                ids = vocab.encode(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for batch in slices(whole, "text", PART):
+                yield pa.RecordBatch.from_arrays([batch.column(0), vocab.encode(batch.column(1))], ["doc_id", "ids"])
 
     return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -196,10 +206,9 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): tokens joined by spaces, as a tokenizer without a decoder has it, special tokens kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_list(path)
+        tokens = pa.array(token_list(path), pa.large_string())
         for whole in batches:
             for batch in slices(whole, "ids", 8_000_000):
-                text = [None if x is None else decode(x, tokens) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decode(batch.column(1), tokens)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillgraph.llm import bpe, media, packing, sharding, toxicity
+from quillgraph.llm import bpe, media, packing, sharding, toxicity, words
 from quillgraph.llm.embed_dedup import bucket_keys, hadamard
 from quillgraph.llm.near_dedup import _sets, plan, signature
 from quillgraph.llm.queries import vocabulary_file
@@ -20,23 +21,72 @@ def library():
     return t
 
 
+#: Letters that compose, fold or split in ways of their own, white space of all kinds, marks, special tokens and code points of late Unicode versions.
+ODD = ["a", "J\u030c", "H\u0331x", "I\u0307", "A\u030a", "Σ", "ς", "İ", "ß", "é", "e\u0301", "\u212a", "\u1c89", "\ua7cb", "日本", "слово", "😀", "\xa0", "\u2003", "\x85", "\x1c", "\x1f", "\u200b", "'s", "''s", "it's", "3.5", "½", "…", "—,", "$$$", ".%%%", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x", " ", "  ", "\n", "\t", "\u0338=", "=\u0338", "_", "\x00", "Ⅷ", "ǅ", "ﬁ", "\u0345"]
+
+
+def odd_texts(n=3000, seed=11):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+
+
 def test_bpe_equals_the_library():
     rng, vocab, t = random.Random(1), bpe.Vocabulary(vocabulary_file()), library()
     cases = ["", " \n", "Don't STOP it's 12 <|endoftext|>x", "ÀÉ Σας ΟΔΟΣ ß İ é \xa0 日本 😀 \x1c a\x1db", "</w> a</w>", "!" * 300, "a" * 5000, "<|", "ab<|startoftext|><|endoftext|>"]
-    cases += ["".join(rng.choice("aeiouthrnsld'.,") for _ in range(rng.randint(1, 60))) for _ in range(500)]
-    tokens = bpe.token_list(vocabulary_file())
-    for text, ids in zip(cases, vocab.encode(cases)):
+    cases += ["".join(rng.choice("aeiouthrnsld'.,") for _ in range(rng.randint(1, 60))) for _ in range(500)] + odd_texts()
+    tokens = pa.array(bpe.token_list(vocabulary_file()), pa.large_string())
+    encoded = vocab.encode(pa.array(cases))
+    for text, ids, decoded in zip(cases, encoded.to_pylist(), bpe.decode(encoded, tokens).to_pylist()):
         want = t.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want, text
-        assert bpe.decode(ids, tokens) == t.decode(want, skip_special_tokens=False)
-    assert vocab.encode([None]) == [b""]
+        assert np.frombuffer(ids, "<u4").tolist() == want, ascii(text)
+        assert decoded == t.decode(want, skip_special_tokens=False)
+    assert vocab.encode(pa.array([None, "a"])).to_pylist()[0] == b"" and vocab.encode(pa.array([], pa.string())).to_pylist() == []
+    assert bpe.decode(pa.array([None, b""], pa.binary()), tokens).to_pylist() == [None, ""]
+
+
+def test_packing_words_equal_the_library():
+    t, words = library(), packing._words(vocabulary_file())
+    cases = odd_texts(seed=12)
+    ids, ends = words.encode(pa.array(cases))
+    for text, begin, end in zip(cases, [0, *ends], ends):
+        assert ids[begin:end].tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
 def test_words_are_forgotten_without_a_trace():
     vocab = bpe.Vocabulary(vocabulary_file())
-    vocab.texts.chunks.limit = vocab.texts.words.limit = 3
-    texts = [f"word{i} other, Thing{i % 4}." for i in range(30)]
-    assert [vocab.encode([t])[0] for t in texts] == bpe.Vocabulary(vocabulary_file()).encode(texts)
+    vocab.texts.kept = 3
+    texts = [f"word{i} other, Thing{i % 4}. É{i}" for i in range(30)]
+    assert [vocab.encode(pa.array([t]))[0].as_py() for t in texts] == bpe.Vocabulary(vocabulary_file()).encode(pa.array(texts)).to_pylist()
+    assert len(vocab.texts.table.row) < 20
+
+
+def test_long_texts_go_in_parts():
+    rng = random.Random(13)
+    texts = pa.array(["é b", None, " ".join(rng.choice(["alpha", "beta,", "gammaé", "x" * 70]) for _ in range(400)), "", "y" * 300 + " z", "end"])
+    vocab = bpe.Vocabulary(vocabulary_file())
+    want = vocab.encode(texts)
+    cuts = list(words.parts(texts, 50))
+    assert sum(going for _, going in cuts) > 100 and "".join(t.as_py() for c, _ in cuts for t in c) == "".join(t or "" for t in texts.to_pylist())
+    whole, size = words.parts, words.PART
+    try:
+        bpe.parts = lambda t: whole(t, 50)
+        assert vocab.encode(texts) == want
+    finally:
+        bpe.parts = whole
+    assert size == words.PART
+
+
+def test_pieces_of_rows_that_go_on():
+    rng = random.Random(14)
+    for _ in range(200):
+        counts, going, capacity = np.array([rng.randint(0, 30) for _ in range(rng.randint(1, 5))]), rng.random() < 0.5, rng.randint(1, 9)
+        row, place, length, left = packing.cut(counts, going, capacity)
+        got = [(r, p, n) for r, p, n in zip(row.tolist(), place.tolist(), length.tolist())]
+        want = []
+        for r, n in enumerate(counts.tolist()):
+            n -= n % capacity if going and r == len(counts) - 1 else 0
+            want += [(r, p, min(capacity, n - p * capacity)) for p in range(-(-n // capacity))]
+        assert got == want and left == (counts[-1] % capacity if going else 0)
 
 
 def test_best_fit_bins():
@@ -55,6 +105,32 @@ def test_best_fit_bins():
     assert [closing.place(n) for n in (6, 7, 3)] == [(0, 0), (1, 0), (1, 7)]
 
 
+def test_best_fit_equals_a_plain_one_with_closings():
+    rng, closings = random.Random(15), 0
+    for capacity, most in ((50, 3), (64, 8), (20, 1), (100, 40)):
+        fit, bins, made = packing.BestFit(capacity, most), [], 0
+        for n in sorted((rng.randint(1, capacity) for _ in range(600)), reverse=rng.random() < 0.5):
+            good = [b for b in bins if b[1] >= n]
+            if good:
+                free = min(b[1] for b in good)
+                own = [b for b in good if b[1] == free]
+            else:
+                if len(bins) >= most:
+                    free = min(b[1] for b in bins)
+                    # of bins with equal space the one that got it last
+                    bins.remove([b for b in bins if b[1] == free][-1])
+                    closings += 1
+                own = [[made, capacity]]
+                bins += own
+                made += 1
+            chosen = own[-1]
+            assert fit.place(n) == (chosen[0], capacity - chosen[1])
+            bins.remove(chosen)
+            if chosen[1] > n:
+                bins.append([chosen[0], chosen[1] - n])
+    assert closings > 100
+
+
 def test_differencing_balances():
     rng = random.Random(3)
     weights = [rng.randint(1, 1000) for _ in range(500)]
