@@ -76,13 +76,20 @@ def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
 def parts(texts: pa.Array, size: int = PART) -> Iterator[tuple[pa.Array, bool]]:
     """The texts of a column in turn (nulls are empty), a few at a time or one in parts, cut at a space, and whether the last one given goes on."""
     column = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(column):
+        return
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = column.buffers()[2]
+    data = column.buffers()[2] or pa.py_buffer(b"")
+
+    def those(ends: np.ndarray) -> pa.Array:
+        # kernels for strings expect the first offset to be 0
+        return pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends - ends[0]), data.slice(int(ends[0]), int(ends[-1] - ends[0]))])
+
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         if end > at + 1 or offsets[end] - offsets[at] <= size:
-            yield column.slice(at, end - at), False
+            yield those(offsets[at : end + 1]), False
         else:
             begin, stop = int(offsets[at]), int(offsets[end])
             while begin < stop:
@@ -94,7 +101,7 @@ def parts(texts: pa.Array, size: int = PART) -> Iterator[tuple[pa.Array, bool]]:
                         cut += found + 1
                         break
                     cut = min(cut + size, stop)
-                yield pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, cut - begin], np.int64)), data.slice(begin, cut - begin)]), cut < stop
+                yield those(np.array([begin, cut], np.int64)), cut < stop
                 begin = cut
         at = end
 

@@ -74,6 +74,11 @@ def test_long_texts_go_in_parts():
     finally:
         bpe.parts = whole
     assert size == words.PART
+    many = pa.array([None if rng.random() < 0.1 else "é B%d, " % i * rng.randint(0, 20) for i in range(60)])
+    for _ in range(100):
+        begin, n = rng.randint(0, 40), rng.randint(0, 20)
+        own = [t for c, _ in words.parts(many.slice(begin, n), rng.choice([20, 90, 5000])) for t in words.pc.ascii_lower(c).to_pylist()]
+        assert "".join(own) == "".join((t or "").lower() for t in many.slice(begin, n).to_pylist())
 
 
 def test_pieces_of_rows_that_go_on():
