@@ -1,4 +1,4 @@
-"""What the operators share: the shared work folder, staged tables, grouped runs and components.
+"""What the operators share: staged tables, components, grouped runs and parts of batches.
 
 Lineage is cut by tables written below ``spark.checkpoint.dir`` (see ``stage``), so a lost executor
 costs only the tasks it ran: every later stage reads files that all executors can see.
@@ -6,39 +6,32 @@ costs only the tasks it ran: every later stage reads files that all executors ca
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
 
+from quillgraph.operators.components import components
+from quillgraph.sources.staging import discard, release, stage, workspace
 
-def workspace(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
-    return sc.getCheckpointDir()
+__all__ = ["components", "discard", "free_name", "release", "runs", "slices", "stage", "strings", "workspace"]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back. ``discard`` removes it."""
-    spark = df.sparkSession
-    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stage_path = path
-    return out
+def strings(texts: pa.Array, begin: int = 0, end: int | None = None) -> pa.Array:
+    """Rows of a string column with wide offsets from 0, as kernels for strings expect them; nulls are empty."""
+    column = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1] or bytes(8), np.int64, len(column) + 1, column.offset * 8)[begin : None if end is None else end + 1]
+    data = (column.buffers()[2] or pa.py_buffer(b"")).slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets - offsets[0]), data])
 
 
-def discard(*staged: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in staged:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores appended until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -64,38 +57,12 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of ``text`` each (one long row may be a part alone)."""
-    import pyarrow.compute as pc
-
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
-    for i, n in enumerate(size):
+    for i, n in enumerate(size.tolist()):
         if i > begin and total + n > limit:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
-        total += int(n)
+        total += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the smallest node reachable over the undirected ``links`` (a, b).
-
-    Label propagation with pointer jumping. Each round is two joins and two map-side combined
-    minimums over staged tables; a hub costs one combined row per task, and AQE may split its join.
-    Nodes without a link do not appear. The number of rounds is about the logarithm of the diameter.
-    """
-    both = stage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), name + "_edges")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), name)
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        met = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        up = labels.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        new = met.join(up, met.component == up.up, "left").select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component"))
-        new = stage(new, name)
-        changed = new.where("component <> was").limit(1).count()
-        discard(labels)
-        labels = new.select("node", "component")
-        labels._stage_path = new._stage_path
-        if not changed:
-            discard(both)
-            return labels

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from quillgraph.llm.common import strings
+
 #: White space as the Unicode property has it, beyond ASCII's; U+001C to U+001F are ordinary here.
 SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A mark of ASCII after a letter or digit always begins a word. U+0130, whose small form ends in a mark, and letters beyond U+024F are left to the word pattern.
@@ -75,21 +77,13 @@ def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def parts(texts: pa.Array, size: int = PART) -> Iterator[tuple[pa.Array, bool]]:
     """The texts of a column in turn (nulls are empty), a few at a time or one in parts, cut at a space, and whether the last one given goes on."""
-    column = pc.fill_null(texts, "").cast(pa.large_string())
-    if not len(column):
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = column.buffers()[2] or pa.py_buffer(b"")
-
-    def those(ends: np.ndarray) -> pa.Array:
-        # kernels for strings expect the first offset to be 0
-        return pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends - ends[0]), data.slice(int(ends[0]), int(ends[-1] - ends[0]))])
-
+    column = strings(texts)
+    offsets, data = np.frombuffer(column.buffers()[1], np.int64), column.buffers()[2]
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         if end > at + 1 or offsets[end] - offsets[at] <= size:
-            yield those(offsets[at : end + 1]), False
+            yield strings(column, at, end), False
         else:
             begin, stop = int(offsets[at]), int(offsets[end])
             while begin < stop:
@@ -101,7 +95,7 @@ def parts(texts: pa.Array, size: int = PART) -> Iterator[tuple[pa.Array, bool]]:
                         cut += found + 1
                         break
                     cut = min(cut + size, stop)
-                yield those(np.array([begin, cut], np.int64)), cut < stop
+                yield pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, cut - begin], np.int64)), data.slice(begin, cut - begin)]), cut < stop
                 begin = cut
         at = end
 
@@ -203,7 +197,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text's end); null texts have none."""
-        column = pc.fill_null(texts, "").cast(pa.large_string())
+        column = strings(texts)
         if not self._special or not pc.any(pc.match_substring_regex(column, self._special)).as_py():
             return self._plain(column)
         # texts are cut at special tokens, whose strings become those tokens
