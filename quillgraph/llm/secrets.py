@@ -13,9 +13,14 @@ the same expressions.
 A value has no largest length. One of more than ``PIECE`` characters is described in pieces of that length, since
 shares of characters mean little in longer ones; its score is its highest piece's, and it is reported and redacted whole.
 
-Defined results: null and empty texts have no candidates; equal values in a text are one candidate, judged
-everywhere they stand by the words about each place: the highest score holds, and all are redacted; ties go by the value's order; rows repeat as they are; columns other than
-doc_id and text pass through ``redact_secrets`` unchanged, whatever their names.
+Texts are matched in a few passes, whatever the number of candidates, and secrets are redacted in one pass by a pattern
+that branches by their first characters. A text without a candidate costs two passes.
+
+Defined results: null and empty texts have no candidates, an empty table gives no rows; equal values in a text are one
+candidate, judged everywhere they stand by the words about each place: the highest score holds, and all are redacted,
+within longer words too; of secrets that begin at one place the longest goes; ties go by the value's order; rows repeat
+as they are; columns other than doc_id and text pass through ``redact_secrets`` unchanged, whatever their names. Texts
+of any length are read whole, by the task that has their row.
 """
 
 from __future__ import annotations
@@ -35,15 +40,17 @@ HARMLESS = r"example|sample|dummy|placeholder|test|sha1|sha256|md5|checksum|dige
 DICTIONARY = "about account after and any build change check code config data default demo document error example file first for from group hello home image index info into item key last line link list local login main message model name network news number object open order page part pass password path phone photo place port post press print public query read report request sample secret server service session set sign start state string system table temp test text the this time title token type update upload user value version video view with word work world your".split()
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk_(?:live|test)_|^xox[abpr]-|^AIza|^eyJ"
 AFTER = rf"(?=((?s:.{{0,{CONTEXT}}})))"
-RUN = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}={0,2})" + AFTER
+RUN_VALUE, TOLD = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}={0,2})", rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?"
+RUN = RUN_VALUE + AFTER
 #: The value is looked at, not taken, so that an assignment within a longer value is a match too.
-ASSIGNED = rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=([^\s\"',;<>]{{6,}}){AFTER})"
+ASSIGNED = rf"{TOLD}(?=([^\s\"',;<>]{{6,}}){AFTER})"
 
 
 def candidates(text: Column) -> Column:
     """array<struct<value, before, after>> of a text, one for each place where a candidate stands."""
-    runs = F.filter(_matches(text, RUN, True), lambda c: c["value"].rlike("[0-9]"))
-    return F.concat(_matches(text, ASSIGNED, False), runs)
+    none = F.array().cast("array<struct<value:string,before:string,after:string>>")
+    runs = F.when(text.rlike(RUN_VALUE), F.filter(_matches(text, RUN, True), lambda c: c["value"].rlike("[0-9]"))).otherwise(none)
+    return F.concat(F.when(text.rlike(TOLD), _matches(text, ASSIGNED, False)).otherwise(none), runs)
 
 
 def _matches(text: Column, pattern: str, taken: bool) -> Column:
@@ -206,11 +213,25 @@ def scan_secrets(docs: DataFrame, forest: list[Tree] | None = None, threshold: f
     return found.select("doc_id", F.size("found").alias("n_candidates"), secrets.alias("secrets")).select("doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), "secrets")
 
 
+def any_pattern(values: Column, branches: int = 3) -> Column:
+    """A pattern for any of the values (distinct, of more than ``branches`` characters), the longest first; it branches by single characters."""
+    quoted = lambda v: F.regexp_replace(v, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    if not branches:
+        longest = F.array_sort(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("value"))))
+        return F.array_join(F.transform(longest, lambda v: quoted(v["value"])), "|")
+
+    def branch(head: Column) -> Column:
+        rest = F.transform(F.filter(values, lambda v: F.substring(v, 1, 1) == head), lambda v: F.substring(v, F.lit(2), F.length(v)))
+        return F.concat(quoted(head), F.lit("(?:"), any_pattern(rest, branches - 1), F.lit(")"))
+
+    return F.array_join(F.transform(F.array_distinct(F.transform(values, lambda v: F.substring(v, 1, 1))), branch), "|")
+
+
 def redact_secrets(docs: DataFrame, forest: list[Tree] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with every secret in text replaced by ``REDACTED``; longer secrets go first."""
+    """``docs`` with every secret in text replaced by ``REDACTED``."""
     forest = forest or train_forest(labelled_findings(docs.sparkSession))
-    text = F.col("text")
+    text = F.col("text").cast("string")
     secrets = F.transform(F.filter(findings(text, forest), lambda f: f["score"] >= threshold), lambda f: f["value"])
-    by_length = F.array_sort(F.transform(secrets, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("value"))))
-    clean = F.aggregate(by_length, text, lambda t, v: F.replace(t, v["value"], F.lit(REDACTED)))
+    # an array of one binds the secrets, which are worked out once
+    clean = F.transform(F.array(secrets), lambda s: F.when(F.size(s) > 0, F.regexp_replace(text, any_pattern(s), F.lit(REDACTED))).otherwise(text))[0]
     return docs.withColumn("text", F.when(text.isNull(), text).otherwise(clean))
