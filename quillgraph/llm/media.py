@@ -10,12 +10,18 @@ so all intervals of a batch of images step together, one symbol each at a time,
 decoded and skipped; the DC values of the luminance component make the thumbnail. Any baseline image with
 one interleaved scan is read (several components, subsampling, AC coefficients, with or without restarts).
 
+Long payloads and scans go in groups of restart intervals, so the arrays of a step stay small; a foreign image without
+restarts is one interval.
+
 Defined results: null and empty texts store one row of 32s and length 0; a text of any length is stored
-whole; equal texts give equal bytes; repeated rows and null doc_ids pass through; null media has null fields.
+whole; equal texts give equal bytes; repeated rows and null doc_ids pass through; null media has null fields; media that
+cannot be read have null fields and a reason. An empty table gives no rows. Columns named like those that ``read_media``
+adds give way to them; all others pass.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,10 +29,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quillgraph.llm.common import slices
 
 UNIT, MOST_BLOCKS, FILL = 192, 8191, 32
+#: Samples, or bytes of scans, that one step works on.
+STEP = 2_000_000
+#: Comments of our own, and what reading a malformed stream may raise.
+OURS = re.compile(rb"n=(\d+);(\d+)")
+BAD = (ValueError, IndexError, KeyError, ZeroDivisionError)
 #: Code lengths of the standard's example table for luminance DC, whose symbols are 0 to 11.
 DC_COUNTS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
 #: Our media have no AC coefficients: the end of a block is the only symbol, of one bit.
@@ -122,16 +134,26 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     coded: dict[int, bytes] = {}
     for width in {j[1] for j in jobs}:
         own = [k for k, j in enumerate(jobs) if j[1] == width]
-        data, marks = _entropy_coded(np.frombuffer(b"".join([jobs[k][2] for k in own]), np.uint8), width)
-        row = 0
-        begin = 0
-        for k in own:
-            rows = len(jobs[k][2]) // width
-            at = marks[row : row + rows]
-            data[at], data[at + 1] = 0xFF, 0xD0 + np.arange(rows) % 8
-            data[at[-1] + 1] = 0xD9
-            coded[k] = _header(width, rows, jobs[k][3]) + data[begin : at[-1] + 2].tobytes()
-            begin, row = int(at[-1]) + 2, row + rows
+        while own:
+            # some jobs of few rows together, or one job in runs of rows
+            total, n = 0, 0
+            while n < len(own) and (not n or total + len(jobs[own[n]][2]) <= STEP):
+                total += len(jobs[own[n]][2])
+                n += 1
+            here, own = own[:n], own[n:]
+            data = np.frombuffer(b"".join([jobs[k][2] for k in here]), np.uint8)
+            row_of = np.concatenate([np.arange(len(jobs[k][2]) // width) for k in here])
+            ends = np.cumsum([len(jobs[k][2]) // width for k in here])
+            most, scans, cuts = max(1, STEP // width), [], []
+            for first in range(0, len(row_of), most):
+                scan, marks = _entropy_coded(data[first * width : (first + most) * width], width)
+                scan[marks], scan[marks + 1] = 0xFF, 0xD0 + row_of[first : first + most] % 8
+                cuts.append(marks + 2 + sum(map(len, scans)))
+                scans.append(scan)
+            scan, cut = np.concatenate(scans), np.concatenate(cuts)
+            scan[cut[ends - 1] - 1] = 0xD9
+            for k, begin, end in zip(here, [0, *cut[ends - 1][:-1].tolist()], cut[ends - 1].tolist()):
+                coded[k] = _header(width, len(jobs[k][2]) // width, jobs[k][3]) + scan[begin:end].tobytes()
     for k, job in enumerate(jobs):
         out[job[0]].append(coded[k])
     return [b"".join(x) for x in out]
@@ -202,6 +224,8 @@ def parse(data: bytes) -> list[Frame]:
             raise ValueError("no end of image")
         frame.end, at = end, end + 2
         out.append(frame)
+    if not out:
+        raise ValueError("no image")
     return out
 
 
@@ -219,40 +243,22 @@ def _intervals(scan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scan[~drop], np.concatenate([[0], kept[marks]])
 
 
-def _decode(jobs: list[tuple[bytes, Frame]]) -> None:
-    """Thumbnails of frames whose components and code tables are alike."""
-    first = jobs[0][1]
-    layout = [(c, dc, ac) for place, dc, ac in first.chosen for c in [place] * (1 if len(first.parts) == 1 else first.parts[place][1] * first.parts[place][2])]
-    luma = [i for i, (c, _, _) in enumerate(layout) if c == 0]
-    tables = np.concatenate([_lookup(first.tables[t]) for _, dc, ac in layout for t in (dc, 0x10 | ac)])
-    part_of = np.array([c for c, _, _ in layout])
-    across, down = (1, 1) if len(first.parts) == 1 else (max(p[1] for p in first.parts), max(p[2] for p in first.parts))
-    data, starts, mcus, spans, total = [], [], [], [], 0
-    for stream, frame in jobs:
-        wide, high = -(-frame.width // (8 * across)), -(-frame.height // (8 * down))
-        clean, begin = _intervals(np.frombuffer(stream, np.uint8, frame.end - frame.begin, frame.begin))
-        step = frame.restart or wide * high
-        counts = np.minimum(step, wide * high - step * np.arange(len(begin)))
-        if counts[-1] <= 0 or counts.sum() != wide * high:
-            raise ValueError("restart intervals and size disagree")
-        data.append(clean)
-        starts.append(begin + total)
-        mcus.append(counts)
-        spans.append((wide, high, len(begin)))
-        total += len(clean)
-    flat = np.concatenate([*data, np.full(8, 0xFF, np.uint8)]).astype(np.int32)
+def _scanned(data: np.ndarray, starts: np.ndarray, mcus: np.ndarray, tables: np.ndarray, part_of: np.ndarray, luma: list[int], parts: int) -> np.ndarray:
+    """DC levels of luminance blocks of restart intervals, which step together, one symbol each at a time."""
+    if int(mcus.sum()) * len(part_of) > 4 * len(data):
+        raise ValueError("the data end early")  # a block takes two bits at least
+    flat = np.concatenate([data, np.full(8, 0xFF, np.uint8)]).astype(np.int32)
     window = flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:]
     window = window.view(np.uint32).astype(np.int64)
-    pos = np.concatenate(starts).astype(np.int64) * 8
-    left = np.concatenate(mcus).astype(np.int64) * len(layout)
-    base = np.concatenate([[0], np.cumsum(np.concatenate(mcus) * len(luma))])
+    pos, left = starts * 8, mcus * len(part_of)
+    base = np.concatenate([[0], np.cumsum(mcus * len(luma))])
     dc = np.zeros(base[-1], np.int32)
     put = base[:-1].copy()
     block, k = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
-    last = np.zeros((len(pos), len(first.parts)), np.int64)
-    several, only_luma = len(layout) > 1, len(first.parts) == 1
+    last = np.zeros((len(pos), parts), np.int64)
+    several, only_luma = len(part_of) > 1, parts == 1
     live = np.arange(len(pos))
-    limit = total * 8
+    limit = len(data) * 8
     while len(live):
         peek = window[np.minimum(pos >> 3, len(window) - 1)] << (pos & 7) & 0xFFFFFFFF
         is_dc = k == 0
@@ -289,13 +295,46 @@ def _decode(jobs: list[tuple[bytes, Frame]]) -> None:
             k = np.where(over, 0, k)
             left = left - over
             if several:
-                block = np.where(over, (block + 1) % len(layout), block)
+                block = np.where(over, (block + 1) % len(part_of), block)
             done = left == 0
             if done.any():
                 if (pos[done] > limit).any():
                     raise ValueError("the data end early")
                 stay = ~done
                 pos, k, left, block, last, put, live = (x[stay] for x in (pos, k, left, block, last, put, live))
+    return dc
+
+
+def _decode(jobs: list[tuple[bytes, Frame]]) -> None:
+    """Thumbnails of frames whose components and code tables are alike."""
+    first = jobs[0][1]
+    layout = [(c, dc, ac) for place, dc, ac in first.chosen for c in [place] * (1 if len(first.parts) == 1 else first.parts[place][1] * first.parts[place][2])]
+    luma = [i for i, (c, _, _) in enumerate(layout) if c == 0]
+    tables = np.concatenate([_lookup(first.tables[t]) for _, dc, ac in layout for t in (dc, 0x10 | ac)])
+    part_of = np.array([c for c, _, _ in layout])
+    across, down = (1, 1) if len(first.parts) == 1 else (max(p[1] for p in first.parts), max(p[2] for p in first.parts))
+    data, starts, mcus, spans, total = [], [], [], [], 0
+    for stream, frame in jobs:
+        wide, high = -(-frame.width // (8 * across)), -(-frame.height // (8 * down))
+        clean, begin = _intervals(np.frombuffer(stream, np.uint8, frame.end - frame.begin, frame.begin))
+        step = frame.restart or wide * high
+        counts = np.minimum(step, wide * high - step * np.arange(len(begin)))
+        if counts[-1] <= 0 or counts.sum() != wide * high:
+            raise ValueError("restart intervals and size disagree")
+        data.append(clean)
+        starts.append(begin + total)
+        mcus.append(counts)
+        spans.append((wide, high, len(begin)))
+        total += len(clean)
+    whole, begins, counts = np.concatenate(data), np.concatenate(starts).astype(np.int64), np.concatenate(mcus).astype(np.int64)
+    only_luma = len(first.parts) == 1
+    found, at = [], 0
+    while at < len(begins):
+        end = max(at + 1, int(np.searchsorted(begins, begins[at] + STEP)))
+        stop = begins[end] if end < len(begins) else total
+        found.append(_scanned(whole[begins[at] : stop], begins[at:end] - begins[at], counts[at:end], tables, part_of, luma, len(first.parts)))
+        at = end
+    dc = np.concatenate(found)
     h, v = (1, 1) if only_luma else (first.parts[0][1], first.parts[0][2])
     at = 0
     for (_, frame), (wide, high, _) in zip(jobs, spans):
@@ -340,32 +379,43 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
+def _told(frames: list[Frame] | str | None) -> tuple:
+    if not isinstance(frames, list):
+        return (None,) * 5 + (frames,)
+    ours = [OURS.fullmatch(f.comment) for f in frames]
+    pixels = b"".join([f.thumbnail.ravel()[: int(m[2])].tobytes() if m else f.thumbnail.tobytes() for f, m in zip(frames, ours)])
+    n = sum(int(m[1]) for m in ours) if all(ours) else None
+    return (frames[0].width, frames[0].height, n, pixels, thumbnail_hash(frames[0].thumbnail), None)
+
+
+def _read(streams: list[bytes]) -> list[list[Frame] | str]:
+    """The frames of each stream, or why it cannot be read; one bad stream costs no other."""
+    try:
+        return decode(streams)
+    except BAD as e:
+        if len(streams) == 1:
+            return [str(e) or type(e).__name__]
+        half = len(streams) // 2
+        return _read(streams[:half]) + _read(streams[half:])
+
+
 def read_media(stored: DataFrame) -> DataFrame:
-    """``stored`` (any columns, with ``media``) and width, height, n_bytes, thumbnail (pixels by row), thumbnail_hash.
+    """``stored`` (any columns, with ``media``) and width, height, n_bytes, thumbnail (pixels by row), thumbnail_hash, reason.
 
     width and height are those of the first frame in samples; n_bytes is the length told in the comments
-    (of foreign images null); the thumbnail is that of all frames in turn; the hash is of the first frame.
+    (of foreign images null); the thumbnail is that of all frames in turn; the hash is of the first frame; reason is
+    why media could not be read, else null.
     """
-    from pyspark.sql import types as T
-
-    added = [("width", T.IntegerType()), ("height", T.IntegerType()), ("n_bytes", T.LongType()), ("thumbnail", T.BinaryType()), ("thumbnail_hash", T.StringType())]
+    added = [("width", T.IntegerType()), ("height", T.IntegerType()), ("n_bytes", T.LongType()), ("thumbnail", T.BinaryType()), ("thumbnail_hash", T.StringType()), ("reason", T.StringType())]
+    stored = stored.drop(*(n for n, _ in added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media", 2_500_000):
                 media = batch.column(batch.schema.get_field_index("media")).to_pylist()
-                read = iter(decode([m for m in media if m is not None]))
-                rows = []
-                for m in media:
-                    if m is None:
-                        rows.append((None,) * 5)
-                        continue
-                    frames = next(read)
-                    ours = all(f.comment[:2] == b"n=" for f in frames)
-                    pixels = b"".join([f.thumbnail.ravel()[: int(f.comment.split(b";")[1])].tobytes() if ours else f.thumbnail.tobytes() for f in frames])
-                    n = sum(int(f.comment[2:].split(b";")[0]) for f in frames) if ours else None
-                    rows.append((frames[0].width, frames[0].height, n, pixels, thumbnail_hash(frames[0].thumbnail)))
-                new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()))]
+                read = iter(_read([m for m in media if m is not None]))
+                rows = [_told(None if m is None else next(read)) for m in media]
+                new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(n for n, _ in added)])
 
     return stored.mapInArrow(run, T.StructType([*stored.schema.fields, *(T.StructField(n, t) for n, t in added)]))

@@ -12,7 +12,8 @@ Merged headers are the original's, where those a 304 may carry come from the rev
 Defined results: full responses have status ``full``; a revisit without an earlier full response is an ``orphan``;
 of equal dates the smaller record id is earlier; captures without a date or url are never used and never
 resolved (``orphan``); null headers count as none; header names compare in lower case, the last of
-several equal names holds; repeated rows are resolved alike; other columns are not read.
+several equal names holds; repeated rows are resolved alike; an empty table gives no rows; other columns, whatever
+their names, are not read. Payloads are never read, only their digests, so their length does not matter.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "va
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case without user, default port, trailing dot; no fragment; sorted parameters without trackers; a path."""
     low = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(url, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    port = F.regexp_extract(url, r"://(?:[^/?#@]*@)?[^/?#:]*:(\d+)", 1)
+    host = F.lower(F.regexp_extract(url, r"://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
+    port = F.regexp_extract(url, r"://(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:]*):(\d+)", 1)
     port = F.when((port == "") | ((low == "http") & (port == "80")) | ((low == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
     path = F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"://[^?#]*\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("(?i)^(utm_[a-z]+|fbclid|gclid|ref)=")))
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("(?i)^(utm_[a-z]+|fbclid|gclid)=")))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     whole = F.concat(low, F.lit("://"), F.regexp_replace(host, r"\.$", ""), port, F.when(path == "", "/").otherwise(path), tail)
     return F.when(url.isNotNull() & (low != "") & (host != ""), whole)
