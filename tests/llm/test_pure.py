@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillgraph.llm import bpe, media, packing, sharding, toxicity, words
-from quillgraph.llm.embed_dedup import bucket_keys, hadamard
-from quillgraph.llm.near_dedup import _sets, plan, signature
+from quillgraph.llm import bpe, embed_dedup, media, packing, sharding, toxicity, words
+from quillgraph.llm.embed_dedup import bucket_codes, bucket_keys, hadamard, hit_rate
+from quillgraph.llm.embed_dedup import plan as vector_plan
+from quillgraph.llm.near_dedup import plan, shingle_sets, signatures
 from quillgraph.llm.queries import vocabulary_file
 
 
@@ -237,21 +238,67 @@ def test_jpeg_round_trip_and_scalar_decoder():
         media.decode([b"not an image"])
 
 
+def test_media_in_steps_and_bad_media(monkeypatch):
+    rng = random.Random(18)
+    payloads = [b"", b"ab" * 3000, rng.randbytes(192 * 40 + 7), bytes([255]) * 5000, b"z"]
+    stored = media.encode(payloads)
+    monkeypatch.setattr(media, "STEP", 400)
+    assert media.encode(payloads) == stored
+    assert [media._told(f)[3][: len(p)] for f, p in zip(media.decode(stored), payloads)] == payloads
+    for _ in range(400):
+        broken = bytearray(rng.choice(stored))
+        for _ in range(rng.randint(1, 4)):
+            broken[rng.randrange(min(len(broken), 700))] = rng.randrange(256)
+        read = media._read([stored[0], bytes(broken[: rng.randint(0, len(broken))]), stored[4]])
+        assert media._told(read[0])[2] == 0 and media._told(read[2])[2] == 1 and len(media._told(read[1])) == 6
+    assert media._told(media._read([b"\xff\xd8junk"])[0])[:5] == (None,) * 5 and media._told(None) == (None,) * 6
+
+
+def test_a_long_payload_needs_little_more_than_itself():
+    import resource
+
+    payload = bytes(range(256)) * 30_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert media._told(media.decode(media.encode([payload]))[0])[3][: len(payload)] == payload
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 600
+
+
+def sets_of(texts, width):
+    values, ends = shingle_sets(pa.array(texts), width)
+    return [values[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def test_signatures_and_sets():
-    a, b, empty, one = _sets(["The quick  brown fox", "the quick brown fox\n", " \t", "one"], 3)
-    assert (a == b).all() and len(a) == 2 and len(empty) == 0 and len(one) == 1
-    assert (signature(a, 48) == signature(b, 48)).all()
+    a, b, empty, one, none = sets_of(["The quick  brown fox", "the quick brown fox\n", " \t", "one", None], 3)
+    assert (a == b).all() and len(a) == 2 and len(empty) == 0 == len(none) and len(one) == 1
     k, m, t = plan(0.85)
+    of = lambda x: signatures(x, np.array([len(x)]), k)[0]
+    assert (of(a) == of(b)).all()
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 850, dtype=np.uint64)
     near = 0
     for _ in range(60):
         x = np.concatenate([base, rng.integers(0, 2**63, 75, dtype=np.uint64)])
         y = np.concatenate([base, rng.integers(0, 2**63, 75, dtype=np.uint64)])
-        near += (signature(x, k) != signature(y, k)).sum() <= t
+        near += (of(x) != of(y)).sum() <= t
+        both = signatures(np.concatenate([x, y]), np.array([len(x), len(x) + len(y)]), k)
+        assert (both[0] == of(x)).all() and (both[1] == of(y)).all()
     assert near == 60 and 2 * m > t
 
 
+def test_shingles_equal_plain_ones():
+    rng = random.Random(16)
+    texts = ["".join(rng.choice(["a", "B", "b", " ", "\n", "\x0b", "\x1c", "é", "\xa0"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for width in (1, 3, 5):
+        sets = sets_of(texts, width)
+        words = [t.encode().lower().split() for t in texts]
+        plain = [frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset() for w in words]
+        assert [len(x) for x in sets] == [len(x) for x in plain]
+        of = {}
+        for x, p in zip(sets, plain):
+            assert of.setdefault(x.tobytes(), p) == p
+
+
 def test_hashing_finds_near_vectors():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 50))
@@ -260,8 +307,32 @@ def test_hashing_finds_near_vectors():
     z = rng.normal(size=x.shape)
     z -= (z * unit).sum(1, keepdims=True) * unit
     y = 0.9 * unit + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    a, b = bucket_keys(x), bucket_keys(y)
-    assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > 0.99
+    last = None
+    for rows in (1_000, 100_000, 10_000_000, 10**9):
+        k, tables = vector_plan(rows, 50, 0.9)
+        a, b = bucket_codes(x, k, tables), bucket_codes(y, k, tables)
+        assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > 0.99
+        assert rows * (2 / 128) ** k <= 64 and (last is None or k >= last)
+        last = k
+    assert 0.5 < hit_rate(50, 0.9) < 1 and len(np.unique(bucket_keys(a, 50)[0])) == a[0].size
+
+
+def test_cells_stay_whole():
+    rng = random.Random(24)
+    for _ in range(300):
+        cells = sorted(rng.randint(0, 30) for _ in range(rng.randint(0, 80)))
+        cuts = sorted(rng.randint(0, len(cells)) for _ in range(5))
+        batches = [pa.RecordBatch.from_arrays([pa.array(cells[a:b], pa.int64())], ["cell"]) for a, b in zip([0, *cuts], [*cuts, len(cells)])]
+        embed_dedup.TABLE, kept = rng.randint(1, 40), embed_dedup.TABLE
+        try:
+            tables = [t.column(0).to_pylist() for t in embed_dedup._whole_cells(iter(batches))]
+        finally:
+            embed_dedup.TABLE = kept
+        assert [c for t in tables for c in t] == cells and all(tables) and all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
+
+
+def some_odds():
+    return toxicity.Odds(["idiot", "the", "of"], [np.array([0, 1]), np.array([2, 1])], np.array([1, 0]))
 
 
 def test_network_gradients():
@@ -269,19 +340,17 @@ def test_network_gradients():
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
     words = ["idiot", "the", "of", "clown"]
-    odds = toxicity.Odds([["idiot", "the"], ["of", "the"]], np.array([1, 0]))
-    x, places, grams = net.inputs(words, odds)
+    x, places, grams, size = net.inputs(words, some_odds())
     x = x.astype(np.float64)
     at = np.array([[0, 1, 2, 4], [3, 3, 1, 0]])
     y, share = np.array([1, 0]), np.array([0.7, 0.3])
 
     def loss():
-        x2 = net.inputs_again(x.copy(), np.array(places), grams)
-        s = net.forward(net.project(x2), at)
+        s = net.forward(net.project(net.inputs_again(x.copy(), places, grams, size)), at)
         return float((share * (np.logaddexp(0, s) - y * s)).sum())
 
-    g = net.gradients(net.inputs_again(x, np.array(places), grams), places, grams, at, y, share)
-    for name in ("uf", "ub", "wf", "wb", "att", "out", "bias"):
+    g = net.gradients(net.inputs_again(x, places, grams, size), places, grams, size, at, y, share)
+    for name in ("uf", "ub", "wf", "wb", "att", "out", "bias", "word", "gram"):
         flat = net.p[name].reshape(-1)
         i = int(np.argmax(np.abs(g[name])))
         keep = flat[i]
@@ -293,17 +362,55 @@ def test_network_gradients():
         assert abs((up - down) / 2e-3 - g[name].reshape(-1)[i]) < 2e-3, name
 
 
+def plain_score(net, x, window):
+    """One window word by word: update and reset gates, both directions, attention, logistic unit."""
+    h, logistic = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    states = [np.zeros(2 * h) for _ in window]
+    for side, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+        state = np.zeros(h)
+        for t in order:
+            if window[t] < len(x):
+                a, u = x[window[t]] @ net.p["w" + side], net.p["u" + side]
+                z, r = (logistic(a[k * h : (k + 1) * h] + state @ u[:, k * h : (k + 1) * h]) for k in (0, 1))
+                state = z * state + (1 - z) * np.tanh(a[2 * h :] + (r * state) @ u[:, 2 * h :])
+            states[t][h * (side == "b") :][:h] = state
+    told = [np.exp(s @ net.p["att"]) if w < len(x) else 0.0 for s, w in zip(states, window)]
+    return sum(a * s for a, s in zip(told, states)) @ net.p["out"] / sum(told) + net.p["bias"][0]
+
+
+def test_network_equals_a_plain_loop():
+    rng, net = np.random.default_rng(19), toxicity.Network(0.3)
+    words = [f"w{i}ord" for i in range(30)]
+    x = net.inputs(words, some_odds())[0]
+    at = rng.integers(0, 30, (50, toxicity.WINDOW))
+    for row, n in zip(at, rng.integers(1, toxicity.WINDOW + 1, 50)):
+        row[n:] = 30
+    assert np.allclose(net.forward(net.project(x), at), [plain_score(net, x, row) for row in at], atol=1e-4)
+
+
+def test_words_and_grams():
+    words, flat, size = toxicity.words_of(pa.array(["The cat, (THE) cat!", None, " ", "É\xa0x."]))
+    assert [words[i] for i in flat] == ["the", "cat", "the", "cat", "é", "x"] and size.tolist() == [4, 0, 0, 2]
+    names = ["a", "abcde", "xyabcde", "b", "ab"]
+    whole, grams, count = toxicity._hashes(names)
+    assert count.tolist() == [2, 8, 12, 2, 3] and len(set(whole.tolist())) == 5
+    of = [set(g.tolist()) for g in np.split(grams, np.cumsum(count)[:-1])]
+    plain = [{("<" + n + ">")[i : i + k] if len(n) + 2 >= k else "<" + n + ">" for k in (3, 5) for i in range(max(1, len(n) + 3 - k))} for n in names]
+    # the short word as a whole is a gram of five beside one of three
+    assert all(len(a & b) == len({g for g in p & q}) for a, p in zip(of, plain) for b, q in zip(of, plain) if a is not b)
+    assert toxicity._hashes([])[2].tolist() == []
+
+
 def test_toxicity_learns_and_holds_out():
     rng = random.Random(5)
     plain = ["".join(rng.choice(["an", "the", "er", "ou", "in", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(200)]
     bad = ["idiot", "scum", "loweib", "loweist", "loweier"]
     make = lambda toxic: " ".join([*(rng.choice(plain) for _ in range(rng.randint(10, 120))), *([rng.choice(bad)] * toxic), *(rng.choice(plain) for _ in range(rng.randint(0, 100)))])
     labels = [i % 4 == 0 for i in range(400)]
-    model = toxicity.train([make(y) for y in labels], [int(y) for y in labels])
+    model = toxicity.train(pa.array([make(y) for y in labels]), [int(y) for y in labels])
     held = [i % 3 == 0 for i in range(200)]
-    score = model.score([make(y) for y in held])
+    score = model.score(pa.array([make(y) for y in held]))
     assert ((score >= 0.5) == held).mean() > 0.95
-    scores = model.score([None, "", "word " * 50_000, make(True)])
+    scores = model.score(pa.array([None, "", "word " * 50_000, make(True)]))
     assert scores[0] == scores[1] and scores[3] > 0.5 and ((0 <= scores) & (scores <= 1)).all()
-    assert toxicity.windows(0) == [0] and all(toxicity.windows(n)[-1] + toxicity.WINDOW >= n for n in range(1, 300))
-    assert toxicity.train(["a"], [1]).score(["x"])[0] == 1.0 and toxicity.train([], []).score(["x"])[0] == 0.0
+    assert toxicity.train(pa.array(["a"]), [1]).score(pa.array(["x"]))[0] == 1.0 and toxicity.train(pa.array([], pa.string()), []).score(pa.array(["x"]))[0] == 0.0

@@ -40,6 +40,39 @@ def test_every_occurrence_of_a_secret_is_judged(spark):
     assert clean[0] == "commit [SECRET] then token=[SECRET]" and value not in clean[1] + clean[2] + clean[4] + clean[5] and clean[3] == late[3]
 
 
+def test_redaction_equals_plain_replacement(spark):
+    rng = random.Random(21)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    values = [hexa(rng.randint(20, 40)) for _ in range(40)] + [f"p!{hexa(9)}.$^*(x)" for _ in range(10)]
+    texts = []
+    for _ in range(30):
+        own = rng.sample(values, rng.randint(0, 12))
+        texts.append(" ".join(rng.choice([f"password={v} a", f"commit {v} b", f"x{v}y", "plain words"]) for v in own))
+    docs = texts_of(spark, texts)
+    forest = train_forest(labelled_findings(spark))
+    found = {r.doc_id: r.secrets for r in scan_secrets(docs, forest).collect()}
+    clean = {r.doc_id: r.text for r in redact_secrets(docs, forest).collect()}
+    assert sum(map(len, found.values())) > 50
+    for i, text in enumerate(texts):
+        pattern = "|".join(re.escape(s) for s in sorted(found[i], key=lambda v: (-len(v), v)))
+        assert clean[i] == (re.sub(pattern, "[SECRET]", text) if pattern else text)
+
+
+def test_time_is_linear_in_candidates(spark):
+    import time
+
+    rng = random.Random(22)
+    forest, took = train_forest(labelled_findings(spark)), {}
+    for n in (100, 4_000, 16_000):
+        docs = texts_of(spark, [" ".join(f"token={rng.randbytes(12).hex()}" for _ in range(n))])
+        docs.count()
+        began = time.time()
+        clean = redact_secrets(docs, forest).collect()[0].text
+        took[n] = time.time() - began
+        assert clean.count("[SECRET]") > 0.9 * n
+    assert took[16_000] < 8 * took[4_000] + 5, took
+
+
 def test_contexts_of_all_places(spark):
     rng = random.Random(3)
     text = " ".join(rng.choice(["token=abc123def", "pwd=pwd=x1y2z3w", "deadbeef00112233445566", "w", "\U0001f600", "auth: 'q1w2e3r4t5y6u7'", "\n"]) for _ in range(200))
@@ -48,12 +81,16 @@ def test_contexts_of_all_places(spark):
     assert len(places) > 100 and [tuple(c) for c in found] == [(v, text[max(0, at - 48) : at], text[at + len(v) :][:48]) for v, at in places]
 
 
-def test_passages_of_half_a_window_lie_whole_in_one():
-    for length in (1, 16, 17, 32, 33, 48, 200, 331):
-        at = toxicity._places(np.arange(length), -1)
-        for begin in range(max(1, length - 16)):
-            passage = set(range(begin, min(length, begin + 17)))
-            assert any(passage <= set(row) for row in at.tolist()), (length, begin)
+def test_passages_of_most_of_a_window_lie_whole_in_one():
+    most = toxicity.WINDOW - toxicity.STRIDE + 1
+    for length in (0, 1, 24, 25, 31, 32, 33, 40, 41, 200, 331):
+        padded, starts, count = toxicity.windows(np.arange(length), np.array([length]), -1)
+        at = [set(padded[s : s + toxicity.WINDOW].tolist()) for s in starts]
+        assert count[0] == len(at) and all(len(padded[s:]) >= toxicity.WINDOW for s in starts)
+        for begin in range(max(1, length - most + 1)):
+            assert any(set(range(begin, min(length, begin + most))) <= w for w in at), (length, begin)
+    padded, starts, count = toxicity.windows(np.arange(70), np.array([30, 0, 40]), -1)
+    assert count.tolist() == [1, 1, 2] and padded[starts[1]] == -1 and padded[starts[2]] == 30
 
 
 def test_distrust_reaches_hosts_at_any_distance(spark):
