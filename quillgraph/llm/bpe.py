@@ -27,9 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import slices
-from quillgraph.llm.words import PART, WordEncoder, packed, parts
+from quillgraph.llm.words import WordEncoder, packed, parts
 
-END, PAIRS_KEPT = "\ue000", 400_000
+#: Bytes of texts, or of ids, that one step works on.
+END, PAIRS_KEPT, STEP = "\ue000", 300_000, 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -196,8 +197,9 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole, "text", PART):
+            for batch in slices(whole, "text", STEP):
                 yield pa.RecordBatch.from_arrays([batch.column(0), vocab.encode(batch.column(1))], ["doc_id", "ids"])
+                pa.default_memory_pool().release_unused()
 
     return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -208,7 +210,8 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(token_list(path), pa.large_string())
         for whole in batches:
-            for batch in slices(whole, "ids", 8_000_000):
+            for batch in slices(whole, "ids", STEP):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decode(batch.column(1), tokens)], ["doc_id", "ids", "decoded"])
+                pa.default_memory_pool().release_unused()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")

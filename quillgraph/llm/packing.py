@@ -31,7 +31,7 @@ from quillgraph.llm.common import stage
 from quillgraph.llm.words import WordEncoder, packed, parts
 
 #: Open bins bind: of 32,768 pieces of web-like lengths somewhat more would stand open at once.
-CAPACITY, OPEN_BINS, UNIT, KEPT = 2048, 7168, 32768, 400_000
+CAPACITY, OPEN_BINS, UNIT, KEPT = 2048, 7168, 32768, 250_000
 
 
 class BestFit:
@@ -138,6 +138,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(done + row)), pa.array(at // capacity, pa.int32()), pa.array(at), pa.array(length), packed(ids, np.cumsum(length)),
                 ], ["doc_id", "piece", "start", "length", "ids"])
+                pa.default_memory_pool().release_unused()
                 before = before + int(counts[-1]) - left if going else 0
                 if not going:
                     done += len(texts)

@@ -36,7 +36,7 @@ SAMPLE, SAMPLE_CHARS = 800, 20_000
 WINDOW, STRIDE = 32, 8
 BUCKETS, GRAMS, DIM, HIDDEN = 4096, 16384, 6, 8
 EPOCHS, WARM, RATE, SEED, PRIOR = 8, 1, 0.02, 11, 5
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 
 #: What is taken out of texts before they are cut into words.
@@ -251,7 +251,7 @@ class Model:
         used = len(self._rows)
         rows[unknown] = np.arange(used, used + len(new))
         if used + len(new) > len(self._gates):
-            grown = np.empty((2 * (used + len(new)), 6 * HIDDEN), np.float32)
+            grown = np.empty(((used + len(new)) * 5 // 4, 6 * HIDDEN), np.float32)
             grown[:used] = self._gates[:used]
             self._gates = grown
         for i in range(0, len(new), 20_000):

@@ -25,7 +25,7 @@ SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A mark of ASCII after a letter or digit always begins a word. U+0130, whose small form ends in a mark, and letters beyond U+024F are left to the word pattern.
 MARK = r"([0-9a-zÀ-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~])"
 #: How many chunks a generation keeps, from what length on none is kept, ids a chunk on average, and bytes of a part.
-KEPT, LONG, IDS_KEPT, PART = 200_000, 100, 16, 8_000_000
+KEPT, LONG, IDS_KEPT, PART = 100_000, 100, 16, 4_000_000
 
 
 class Table:
