@@ -67,6 +67,9 @@ PHRASE_ALIASES = {
     "CANT CONCENTRATE": ["TROUBLE CONCENTRATING", "DIFFICULTY CONCENTRATING"], "LOST INTEREST": ["LOSS OF INTEREST"], "NO INTEREST": ["LOSS OF INTEREST"],
     "FEELING SAD": ["SADNESS", "DEPRESSED MOOD"], "FEEL SAD": ["SADNESS", "DEPRESSED MOOD"], "DOWN ALL THE TIME": ["DEPRESSED MOOD", "SADNESS"],
 }
+# Parts of questions that compare, and of those that tell of symptoms.
+COMPARISON_PARTS = ["difference between", "compare", "vs", "versus", "distinguish"]
+SYMPTOM_PARTS = ["i have", "i feel", "i am feeling", "i'm feeling", "experiencing", "suffering from", "what could", "what might", "lost my appetite", "can't sleep", "cant sleep", "trouble sleeping"]
 INTENTS = [
     ("diagnostic_criteria", ["diagnostic criteria", "criteria", "criterion"], ["HAS_DIAGNOSTIC_CRITERION"]),
     ("specifiers", ["specifier", "specifiers", "subtype", "subtypes"], ["HAS_SPECIFIER"]),

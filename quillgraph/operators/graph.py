@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import CLINICAL, Ontology
 from quillgraph.functions import text as T
-from quillgraph.operators.communities import staged
+from quillgraph.sources.staging import stage
 
+#: Repair targets that one pass may have; they are broadcast.
+MOST_TARGETS = 10_000
 PAYLOAD = "struct<entities:array<struct<id:string,name:string,type:string,description:string>>,relations:array<struct<source:string,target:string,relation:string,description:string,strength:string>>>"
 
 
@@ -53,15 +55,17 @@ def accepted(named: DataFrame, ontology: Ontology = CLINICAL) -> DataFrame:
 def fold_relations(named: DataFrame, raw_relations: DataFrame, ontology: Ontology = CLINICAL) -> DataFrame:
     """Relations whose ends are known and legal as of their chunk: highest strength, first description, all sources."""
     ids = named.groupBy("chunk_id", "id").agg(F.max_by("canon", "pos").alias("canon"))
-    per_chunk = accepted(named, ontology).groupBy("canon", "chunk_seq").agg(F.max(T.priority(F.col("kind"), ontology.priority)).alias("p"))
-    running = per_chunk.withColumn("p", F.max("p").over(Window.partitionBy("canon").orderBy("chunk_seq"))).withColumn("until", F.lead("chunk_seq").over(Window.partitionBy("canon").orderBy("chunk_seq")))
+    # a name has one row with the chunks at which each priority first stood, however many chunks mention it
+    first = accepted(named, ontology).groupBy("canon", T.priority(F.col("kind"), ontology.priority).alias("p")).agg(F.min("chunk_seq").alias("since"))
+    steps = first.groupBy("canon").agg(F.collect_list(F.struct("p", "since")).alias("steps"))
     of = {v: k for k, v in ontology.priority.items()}
     label = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
     ends = raw_relations.where("source is not null and target is not null and relation is not null").withColumn("relation", F.upper(F.trim("relation")))
     for end, name, kind in (("source", "subject", "s_label"), ("target", "object", "t_label")):
         side = ids.select("chunk_id", F.col("id").alias(end), F.col("canon").alias(name))
-        known = running.select(F.col("canon").alias(name), F.col("chunk_seq").alias("since"), "until", label[F.col("p")].alias(kind))
-        ends = ends.join(side, ["chunk_id", end]).join(known, name).where("since <= chunk_seq and (until is null or chunk_seq < until)").drop("since", "until")
+        known = steps.select(F.col("canon").alias(name), "steps")
+        so_far = F.array_max(F.transform(F.filter("steps", lambda s: s["since"] <= F.col("chunk_seq")), lambda s: s["p"]))
+        ends = ends.join(side, ["chunk_id", end]).join(known, name).withColumn(kind, label[so_far]).where(F.col(kind).isNotNull()).drop("steps")
     legal = ends.join(F.broadcast(triples(ends, ontology)), ["s_label", "relation", "t_label"], "left_semi")
     seq = F.struct("chunk_seq", "pos")
     return legal.groupBy(F.col("subject"), "relation", F.col("object").alias("target")).agg(
@@ -69,6 +73,11 @@ def fold_relations(named: DataFrame, raw_relations: DataFrame, ontology: Ontolog
     )
 
 
+def numbered_order(df: DataFrame) -> DataFrame:
+    """``ord`` (chunk_seq, pos) as one number in which places never run into the next chunk's."""
+    return df.withColumn("ord", F.col("ord.chunk_seq").cast("decimal(27,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("ord.pos").cast("decimal(10,0)"))
+
+
 def adjacency(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(name, direction, relation, neighbor, description, strength, sources) in both directions; dangling ends go."""
     names = entities.select("name")
@@ -78,6 +87,13 @@ def adjacency(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return out.unionByName(whole.select(F.col("target").alias("name"), F.lit("incoming").alias("direction"), F.col("subject").alias("neighbor"), *rest))
 
 
+def _one_after_another(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of two tables; ``ord`` goes on in the second where the first one ends, whatever its values."""
+    last = first.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("last")).join(second.agg(F.coalesce(F.min("ord"), F.lit(0)).alias("least")))
+    later = second.select(*columns, "ord").join(F.broadcast(last)).withColumn("ord", F.col("ord") - F.col("least") + F.col("last") + 1).select(*columns, "ord")
+    return first.select(*columns, "ord").unionByName(later)
+
+
 def _folded(relations: DataFrame) -> DataFrame:
     """Relations of one triple as one: the highest strength, the longest description (the first of equal ones), all sources."""
     return relations.groupBy("subject", "relation", "target").agg(
@@ -125,9 +141,7 @@ def merge_graphs(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, Da
     sources = F.array_sort(F.array_union(F.coalesce("sources_a", none), F.coalesce("sources_b", none)))
     entities = both.select("name", F.coalesce("label_a", "label_b").alias("label"), description.alias("description"), sources.alias("sources"), F.coalesce("ord_a", "ord_b").alias("ord"))
     conflicts = both.where(differ).select("name", F.col("label_a").alias("kept_label"), F.col("label_b").alias("other_label"))
-    columns = ["subject", "relation", "target", "description", "strength", "sources", "ord"]
-    later = second[1].select(*columns).withColumn("ord", F.col("ord") + F.lit(1 << 40))
-    relations = _folded(first[1].select(*columns).unionByName(later))
+    relations = _folded(_one_after_another(first[1], second[1], ["subject", "relation", "target", "description", "strength", "sources"]))
     if clean:
         entities, relations = clean_graph(entities, relations, ontology)
     return entities, relations, conflicts
@@ -135,15 +149,13 @@ def merge_graphs(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, Da
 
 def upsert(state: tuple[DataFrame, DataFrame], incoming: tuple[DataFrame, DataFrame], ontology: Ontology = CLINICAL) -> tuple[DataFrame, DataFrame]:
     """Incoming entities and relations folded into a graph: highest label, longest description, highest strength, all sources."""
-    columns = ["name", "label", "description", "sources", "ord"]
-    rows = state[0].select(columns).unionByName(incoming[0].select(columns).withColumn("ord", F.col("ord") + F.lit(1 << 40)))
+    rows = _one_after_another(state[0], incoming[0], ["name", "label", "description", "sources"])
     entities = rows.groupBy("name").agg(
         F.max_by("label", T.priority(F.col("label"), ontology.priority)).alias("label"), F.max_by("description", F.struct(F.length("description"), (-F.col("ord")).alias("o"))).alias("description"), _union_sources("sources"), F.min("ord").alias("ord")
     )
     legal = incoming[1].join(entities.select(F.col("name").alias("subject"), F.col("label").alias("s_label")), "subject").join(entities.select(F.col("name").alias("target"), F.col("label").alias("t_label")), "target")
     legal = legal.join(F.broadcast(triples(legal, ontology)), ["s_label", "relation", "t_label"], "left_semi")
-    columns = ["subject", "relation", "target", "description", "strength", "sources", "ord"]
-    return entities, _folded(state[1].select(columns).unionByName(legal.select(columns).withColumn("ord", F.col("ord") + F.lit(1 << 40))))
+    return entities, _folded(_one_after_another(state[1], legal, ["subject", "relation", "target", "description", "strength", "sources"]))
 
 
 def remove_families(relations: DataFrame, families: DataFrame) -> DataFrame:
@@ -158,7 +170,10 @@ def merge_chunk_maps(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def repair_scores(chunks: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scores of chunks (chunk_seq, section, context, text) for targets (target, aliases, hints), which are few: a broadcast join without keys."""
+    """Scores of chunks (chunk_seq, section, context, text) for targets (target, aliases, hints), at most ``MOST_TARGETS``: a broadcast join without keys."""
+    n = targets.limit(MOST_TARGETS + 1).count()
+    if n > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} repair targets at once")
     text, context, section = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "context", "section"))
     crossed = chunks.join(F.broadcast(targets))
     norm = lambda c: F.concat(F.lit(" "), T.normalize_name(c), F.lit(" "))
@@ -218,11 +233,11 @@ def repair_graph(state: tuple[DataFrame, DataFrame], chunks: DataFrame, targets:
     for target in targets:
         aliases = [r.aliases for r in condition_aliases(state[0]).where(F.col("target") == target["condition"]).collect()] or [[target["condition"]]]
         table = spark.createDataFrame([(target["condition"], aliases[0], target["hints"])], "target string, aliases array<string>, hints array<string>")
-        best = select_repair_chunks(staged(repair_scores(chunks, table)))
+        best = select_repair_chunks(stage(repair_scores(chunks, table)))
         raw_entities, raw_relations = explode_payloads(extract(chunks.join(best.select("chunk_seq"), "chunk_seq", "left_semi")))
-        named = staged(named_entities(raw_entities))
-        order = lambda df: df.withColumn("ord", F.col("ord.chunk_seq") * 1000 + F.col("ord.pos"))
-        wanted = staged(fold_relations(named, raw_relations, ontology)).where((F.col("subject") == target["condition"]) & F.col("relation").isin(target["relations"]))
-        entities, relations = upsert(state, (order(staged(fold_entities(named, ontology))), order(wanted)), ontology)
-        state = staged(entities), staged(relations)
+        named = stage(named_entities(raw_entities))
+        order = numbered_order
+        wanted = stage(fold_relations(named, raw_relations, ontology)).where((F.col("subject") == target["condition"]) & F.col("relation").isin(target["relations"]))
+        entities, relations = upsert(state, (order(stage(fold_entities(named, ontology))), order(wanted)), ontology)
+        state = stage(entities), stage(relations)
     return clean_graph(*state, ontology)

@@ -64,20 +64,20 @@ def compare_any_relation(asks: DataFrame, relations: DataFrame) -> DataFrame:
 def keyword_search(questions: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
     """(qid, name, label, score, rank): by how many of the question's terms are substrings of name and description.
 
-    Substrings cannot be hashed, so entities meet the few distinct terms of the questions: each entity row is
-    scored by one expression over the broadcast term lists, and only hits leave. Questions are bounded by callers.
+    Substrings cannot be hashed, so entities meet the distinct terms of the questions, and only hits leave. The engine
+    broadcasts the smaller side if its size allows and goes through both in blocks if not.
     """
     terms = questions.select("qid", F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: (F.length(t) > 2) & ~t.isin(C.QUERY_STOPWORDS))).alias("terms"))
     hay = entities.select("name", "label", F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))).alias("hay"))
     by_term = terms.select("qid", F.explode("terms").alias("term"))
-    hits = hay.join(F.broadcast(by_term), F.col("hay").contains(F.col("term"))).groupBy("qid", "name", "label").agg(F.count("*").alias("score"))
+    hits = hay.join(by_term, F.col("hay").contains(F.col("term"))).groupBy("qid", "name", "label").agg(F.count("*").alias("score"))
     return _ranked(hits, ["qid"], [F.desc("score"), F.col("name")], top).select("qid", "name", "label", "score", "rank")
 
 
 def summary_search(questions: DataFrame, summaries: DataFrame, top: int = 3) -> DataFrame:
     """(qid, community_id, score, rank): community summaries by substring terms, of any length, without stop words."""
     terms = questions.select("qid", F.explode(F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: ~t.isin(C.QUERY_STOPWORDS)))).alias("term"))
-    hits = summaries.select("community_id", F.lower("summary").alias("hay")).join(F.broadcast(terms), F.col("hay").contains(F.col("term"))).groupBy("qid", "community_id").agg(F.count("*").alias("score"))
+    hits = summaries.select("community_id", F.lower("summary").alias("hay")).join(terms, F.col("hay").contains(F.col("term"))).groupBy("qid", "community_id").agg(F.count("*").alias("score"))
     return _ranked(hits, ["qid"], [F.desc("score"), F.col("community_id")], top)
 
 
@@ -106,8 +106,33 @@ def display_filter(results: DataFrame) -> DataFrame:
     return marked.withColumn("some", F.max("wanted").over(w)).where("wanted or not some").drop("wanted", "some")
 
 
-def render_answers(results: DataFrame, most: int = 10) -> DataFrame:
-    """(qid, answer): ranked lines of each relation, relations in order of name."""
-    lines = results.where(F.col("rank") <= most).select("qid", "relation", "rank", T.relation_line(F.col("relation"), F.col("neighbor"), F.col("description"), F.col("strength")).alias("line"))
-    block = lines.groupBy("qid", "relation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("block"))
-    return block.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relation", "block"))), lambda x: F.concat(x["relation"], F.lit(":\n"), x["block"])), "\n\n").alias("answer"))
+def relation_lines(results: DataFrame, part: int, most: int = 10, titled: bool = False) -> DataFrame:
+    """(qid, part, key, rank, line): ranked lines of each relation under its name, which is told if there are several or ``titled``."""
+    shown = results.where(F.col("rank") <= most)
+    lines = shown.select("qid", F.col("relation").alias("key"), "rank", T.relation_line(F.col("relation"), F.col("neighbor"), F.col("description"), F.col("strength")).alias("line"))
+    heads = shown.select("qid", F.col("relation").alias("key")).distinct()
+    if not titled:
+        several = heads.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1").select("qid")
+        heads = heads.join(several, "qid", "left_semi")
+    heads = heads.select("qid", "key", F.lit(0).alias("rank"), F.concat("key", F.lit(":")).alias("line"))
+    return lines.unionByName(heads).withColumn("part", F.lit(part))
+
+
+def joined_lines(lines: DataFrame, out: str) -> DataFrame:
+    """(qid, ``out``): lines in order of part, key and rank."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", "key", "rank", "line")))
+    return lines.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(out))
+
+
+def result_filter(results: DataFrame) -> DataFrame:
+    """Lookup results of a store without low-signal neighbours, ranked anew within each relation."""
+    kept = results.where(~T.is_low_signal(F.col("neighbor"), F.col("label"))).drop("rank")
+    return _ranked(kept, ["qid", "name", "relation"], [F.desc("strength"), F.col("neighbor")])
+
+
+def store_text_search(questions: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
+    """(qid, name, label, score, rank): the store's way without a full-text index, by terms of its own list that name or description hold."""
+    terms = questions.select("qid", F.explode(T.keyword_tokens(F.col("question"))).alias("term"))
+    hay = entities.select("name", "label", F.lower("name").alias("low"), F.lower(F.coalesce("description", F.lit(""))).alias("told"))
+    hits = hay.join(terms, F.col("low").contains(F.col("term")) | F.col("told").contains(F.col("term"))).groupBy("qid", "name", "label").agg(F.count("*").alias("score"))
+    return _ranked(hits, ["qid"], [F.desc("score"), F.col("name")], top)

@@ -33,8 +33,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, top: int = 8) -> DataFrame:
-    """(qid, vec_id, score, rank) by cosine; ``queries`` (qid, query) are a bounded batch of questions and are broadcast."""
-    scored = vectors.join(F.broadcast(queries)).select("qid", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
+    """(qid, vec_id, score, rank) by cosine of every query (qid, query) with every vector; the engine broadcasts the smaller side if its size allows."""
+    scored = vectors.join(queries).select("qid", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
 
 

@@ -99,7 +99,7 @@ def test_questions(spark):
     assert got[2].query_type == "reverse_symptom" and "DEPRESSION" in got[2].answer
     assert got[3].query_type == "forward_lookup" and got[3].entities == "DEPRESSION"
     assert got[4].query_class == "CRISIS" and "988" in got[4].answer
-    assert got[5].query_type == "comparison" and "shared all: COGNITIVE BEHAVIORAL THERAPY" in got[5].answer
+    assert got[5].query_type == "comparison" and "shared all, TREATED_BY: COGNITIVE BEHAVIORAL THERAPY" in got[5].answer
     assert got[6].query_class == "OUT_OF_SCOPE"
     assert got[7].query_type == "symptoms" and "FATIGUE: " not in got[7].answer and "- FATIGUE (strength 9)" in got[7].answer and "Guide 0" in got[7].citations
 
@@ -128,6 +128,69 @@ def test_session_memory(spark):
     assert got[0] == "q0" and got[8] == "q2 q3 q4 q5 q6 q7 q8"
 
 
+def test_sessions_gate_and_link(spark, tmp_path):
+    from quillgraph.plans.engine import Engine
+
+    e, r, c = demo_graph(spark)
+    S.save_graph({"entities": e, "relations": r, "chunk_payloads": c}, str(tmp_path / "g"))
+    said = [(1, 1, "What is anxiety?"), (1, 2, "suicide"), (2, 1, "I feel tired all the time."), (2, 2, "and I lost my appetite to eat lately."), (3, 1, "I want to kill myself"), (3, 2, "What is depression?"), (4, 1, "is a differential diagnosis known for depression and panic disorder")]
+    got = {r.qid: r for r in Engine(spark, str(tmp_path / "g")).converse(spark.createDataFrame(said, "session_id bigint, turn bigint, question string")).collect()}
+    assert got[1_000_002].query_class == "CRISIS" and "988" in got[1_000_002].answer and got[3_000_001].query_class == "CRISIS"
+    assert got[2_000_002].query_type == "reverse_symptom" and "FATIGUE" in got[2_000_002].entities and "DEPRESSION" in got[2_000_002].answer
+    assert got[4_000_001].query_type == "differential_diagnosis" and got[2_000_002].source_chunks
+
+
+def test_fuzzy_links_equal_plain_ones(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from quillgraph.operators import linking as L
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ABCDE") for _ in range(rng.randint(2, 14)))
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(150)} | {"A" * 40 + "BCDEABC"})
+    asked = [(1000, "A" * 40 + "BCDEABCDEABCDEAB")]
+    for i in range(80):
+        letters = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(letters))
+            letters[at : at + 1] = rng.choice(["", rng.choice("ABCDE"), letters[at] + "B"])
+        asked.append((i, "".join(letters)))
+    want = set()
+    for qid, q in asked:
+        w = q.split()
+        grams = {" ".join(w[a : a + n]) for n in range(1, 6) for a in range(len(w) - n + 1)}
+        for name in names:
+            least = 0.91 if " " in name else 0.88
+            for g in grams:
+                if len(name) >= 5 and len(g) >= 4 and g != name and abs(len(g.split()) - len(name.split())) <= 1 and abs(len(g) - len(name)) <= max(4, len(name) // 3) and SequenceMatcher(None, g, name).ratio() >= least:
+                    want.add((qid, name))
+    entities = spark.createDataFrame([(n, "CONDITION") for n in names], "name string, label string")
+    got = {(r.qid, r.name) for r in L.link_fuzzy(spark.createDataFrame(asked, "qid bigint, question string"), entities, 10_000).collect()}
+    assert got == want and len(want) > 30 and (1000, "A" * 40 + "BCDEABC") in want
+
+
+def test_labels_of_a_hub_change_once(spark):
+    named = spark.createDataFrame([(i, f"k{i}", 0, "HUB", kind, "") for i, kind in enumerate(["DEMOGRAPHIC"] * 3 + ["SYMPTOM"] * 3 + ["CONDITION"] + ["SYMPTOM"] * 20)] + [(i, f"k{i}", 1, "GLOOM", "SYMPTOM", "") for i in range(27)], "chunk_seq bigint, chunk_id string, pos int, canon string, kind string, description string").withColumn("id", F.lower("canon"))
+    told = spark.createDataFrame([(i, f"k{i}", 0, "hub", "gloom", "has_symptom", "", "5") for i in range(27)], "chunk_seq bigint, chunk_id string, pos int, source string, target string, relation string, description string, strength string")
+    (row,) = G.fold_relations(named, told).collect()
+    assert row.sources == sorted(f"k{i}" for i in range(6, 27))
+
+
+def test_communities_beat_labels_alone(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = {(f"n{g}{a:02d}", f"n{g}{b:02d}") for g in "abcd" for a in range(12) for b in range(a) if rng.random() < 0.6} | {("na00", "nb00"), ("nb01", "nc01"), ("nc02", "nd02")}
+    r = spark.createDataFrame([(a, "R", b, "", 5, [], i) for i, (a, b) in enumerate(sorted(edges))], R)
+    got = {x.name: x.community_id for x in CM.communities(r.repartition(3)).collect()}
+    m = len(edges)
+    degree = {n: sum(n in e for e in edges) for n in got}
+    modularity = lambda of: sum((of[a] == of[b]) / m for a, b in edges) - sum((sum(degree[n] for n in of if of[n] == c) / (2 * m)) ** 2 for c in set(of.values()))
+    assert modularity(got) >= 0.95 * modularity({n: n[1] for n in got}) and sorted(set(got.values())) == list(range(len(set(got.values()))))
+    assert got == {x.name: x.community_id for x in CM.communities(r).collect()}
+
+
 def test_communities_are_connected_and_complete(spark):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), ("x", "y")]
     r = spark.createDataFrame([(a, "R", b, "", 5, [], i) for i, (a, b) in enumerate(edges)], R)
