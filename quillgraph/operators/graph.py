@@ -52,8 +52,8 @@ def accepted(named: DataFrame, ontology: Ontology = CLINICAL) -> DataFrame:
     return named.where(F.col("kind").isin(list(ontology.priority)) & ~T.is_garbage(F.col("canon")) & ~F.col("canon").isin(ontology.forbidden))
 
 
-def fold_relations(named: DataFrame, raw_relations: DataFrame, ontology: Ontology = CLINICAL) -> DataFrame:
-    """Relations whose ends are known and legal as of their chunk: highest strength, first description, all sources."""
+def fold_relations(named: DataFrame, raw_relations: DataFrame, ontology: Ontology = CLINICAL, per_row: bool = False) -> DataFrame:
+    """Relations whose ends are known and legal as of their chunk: highest strength, first description, all sources; ``per_row``: before they are folded."""
     ids = named.groupBy("chunk_id", "id").agg(F.max_by("canon", "pos").alias("canon"))
     # a name has one row with the chunks at which each priority first stood, however many chunks mention it
     first = accepted(named, ontology).groupBy("canon", T.priority(F.col("kind"), ontology.priority).alias("p")).agg(F.min("chunk_seq").alias("since"))
@@ -67,6 +67,8 @@ def fold_relations(named: DataFrame, raw_relations: DataFrame, ontology: Ontolog
         so_far = F.array_max(F.transform(F.filter("steps", lambda s: s["since"] <= F.col("chunk_seq")), lambda s: s["p"]))
         ends = ends.join(side, ["chunk_id", end]).join(known, name).withColumn(kind, label[so_far]).where(F.col(kind).isNotNull()).drop("steps")
     legal = ends.join(F.broadcast(triples(ends, ontology)), ["s_label", "relation", "t_label"], "left_semi")
+    if per_row:
+        return legal
     seq = F.struct("chunk_seq", "pos")
     return legal.groupBy(F.col("subject"), "relation", F.col("object").alias("target")).agg(
         F.min_by(F.trim(F.coalesce("description", F.lit(""))), seq).alias("description"), F.max(T.strength_of(F.col("strength"))).alias("strength"), F.array_sort(F.collect_set("chunk_id")).alias("sources"), F.min(seq).alias("ord"),
@@ -241,3 +243,45 @@ def repair_graph(state: tuple[DataFrame, DataFrame], chunks: DataFrame, targets:
         entities, relations = upsert(state, (order(stage(fold_entities(named, ontology))), order(wanted)), ontology)
         state = stage(entities), stage(relations)
     return clean_graph(*state, ontology)
+
+
+def extraction_stats(chunks: DataFrame, ontology: Ontology = CLINICAL, payload: str = "payload") -> DataFrame:
+    """(counter, n) over chunks (chunk_seq, chunk_id, payload): payloads that do not parse, entities and relations that are rejected, and by what."""
+    parsed = chunks.select("chunk_id", T.json_payload(F.col(payload), PAYLOAD).alias("p"), (F.trim(F.coalesce(F.col(payload), F.lit(""))) == "").alias("blank"))
+    unread = parsed.where(F.col("p").isNull() & ~F.col("blank")).agg(F.count("*").alias("n")).select(F.lit("json_parse_errors").alias("counter"), "n")
+    raw, relations = explode_payloads(chunks, payload)
+    named = stage(named_entities(raw))
+    typed, name = F.col("kind").isin(list(ontology.priority)), F.col("canon")
+    judged = named.select(
+        F.count_if(~typed).alias("type_conflicts"), F.count_if(typed & T.is_garbage(name)).alias("garbage_rejected"), F.count_if(typed & ~T.is_garbage(name) & name.isin(ontology.forbidden)).alias("semantic_rejected")
+    ).selectExpr("stack(3, 'type_conflicts', type_conflicts, 'garbage_rejected', garbage_rejected, 'semantic_rejected', semantic_rejected) as (counter, n)")
+    kept = fold_relations(named, relations.withColumn("row", F.struct("chunk_seq", "pos")), ontology, per_row=True)
+    skipped = relations.agg(F.count("*").alias("all")).join(kept.agg(F.count("*").alias("good"))).select(F.lit("skipped_triplets").alias("counter"), (F.col("all") - F.col("good")).alias("n"))
+    return unread.unionByName(judged).unionByName(skipped)
+
+
+def curated_repair(state: tuple[DataFrame, DataFrame], chunks: DataFrame, specs: DataFrame, reset: DataFrame, ontology: Ontology = CLINICAL) -> tuple[DataFrame, DataFrame]:
+    """A graph with curated facts in place of the families ``reset`` (subject, relation), then cleaned.
+
+    ``specs`` (spec, hints array, payload) holds the facts; a spec's sources are the chunks (chunk_seq, chunk_id, text) whose
+    text holds one of its hints. Specs, at most ``MOST_TARGETS``, meet chunks by hint, so a spec without a chunk keeps its own name as source.
+    """
+    if specs.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} curated facts at once")
+    hints = F.broadcast(specs.select("spec", F.explode("hints").alias("hint")))
+    found = chunks.select("chunk_id", F.lower("text").alias("low")).join(hints, F.col("low").contains(F.lower("hint"))).groupBy("spec").agg(F.array_sort(F.collect_set("chunk_id")).alias("found"))
+    facts = specs.join(found, "spec", "left").select(F.dense_rank().over(Window.orderBy("spec")).cast("bigint").alias("chunk_seq"), F.col("spec").alias("chunk_id"), "payload", F.coalesce("found", F.array("spec")).alias("found"))
+    raw, relations = explode_payloads(facts)
+    named = stage(named_entities(raw))
+    sourced = lambda df: numbered_order(df).join(facts.select(F.array("chunk_id").alias("of"), "found"), F.arrays_overlap("sources", "of")).groupBy(*[c for c in df.columns if c not in ("sources", "ord")]).agg(_union_sources("found"), F.min("ord").alias("ord"))
+    entities, triples_ = sourced(fold_entities(named, ontology)), sourced(fold_relations(named, relations, ontology))
+    kept = (state[0], remove_families(state[1], reset))
+    return clean_graph(*upsert(kept, (entities, triples_), ontology), ontology)
+
+
+def with_lineage(meta: dict, step: dict) -> dict:
+    """``meta`` with ``step`` at the end of its lineage, unless the last step has the same directory."""
+    lineage = list(meta.get("lineage", []))
+    if not lineage or lineage[-1].get("directory") != step.get("directory"):
+        lineage.append(step)
+    return {**meta, "lineage": lineage}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +63,62 @@ def answer_metrics(predictions: DataFrame) -> DataFrame:
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     rows = t.select("system", f1.alias("f1"), share(F.col("g"), F.col("c")).alias("cp"), share(F.col("c"), F.col("g")).alias("cr"), share(F.col("c"), F.col("a")).alias("fa"))
     return rows.groupBy("system").agg(*(F.round(F.avg(c), 6).alias(n) for c, n in (("f1", "answer_relevancy"), ("cp", "context_precision"), ("cr", "context_recall"), ("fa", "faithfulness"))))
+
+
+def model_rerank(questions: DataFrame, hits: DataFrame, chunks: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]], top: int = 5) -> DataFrame:
+    """(qid, chunk_id, score, rank) by a provider's scores of (question, text) pairs, which take the place of the scores so far."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["qid", "chunk_id"]].assign(score=[float(x) for x in model(list(zip(b.question, b.text)))])
+
+    pairs = hits.select("qid", "chunk_id").join(questions.select("qid", "question"), "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
+    kinds = f"qid {pairs.schema['qid'].dataType.simpleString()}, chunk_id {pairs.schema['chunk_id'].dataType.simpleString()}, score double"
+    scored = pairs.mapInPandas(run, kinds)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= top)
+
+
+def graph_contexts(parts: dict[str, DataFrame], payloads: DataFrame) -> DataFrame:
+    """(qid, answer, contexts) of the graph system: what the graph says, keyword rows, communities, source chunks and citations, in this order."""
+    rows = parts["lines"].groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "rank", "line"))), lambda x: x["line"]), "\n").alias("c")).select("qid", F.lit(0).alias("part"), F.lit(0).alias("rank"), "c")
+    local = F.concat("name", F.lit(" ["), "label", F.lit("]: "), F.coalesce("description", F.lit("")))
+    rows = rows.unionByName(parts["local"].groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", local.alias("l")))), lambda x: x["l"]), "\n").alias("c")).select("qid", F.lit(1).alias("part"), F.lit(0).alias("rank"), "c"))
+    if parts["context"] is not None:
+        rows = rows.unionByName(parts["context"].select("qid", F.lit(2).alias("part"), "rank", F.col("summary").alias("c")))
+    chunks = parts["chunks"].where("trim(coalesce(text, '')) <> ''")
+    rows = rows.unionByName(chunks.select("qid", F.lit(3).alias("part"), "rank", F.concat(F.lit("["), F.coalesce("citation", F.lit("Unknown source")), F.lit("]\n"), F.trim("text")).alias("c")))
+    cited = parts["citations"].groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "citation"))), lambda x: F.concat(F.lit("- "), x["citation"])), "\n").alias("c"))
+    rows = rows.unionByName(cited.select("qid", F.lit(4).alias("part"), F.lit(0).alias("rank"), F.concat(F.lit("Citations:\n"), "c").alias("c")))
+    told = rows.where("c <> ''").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "rank", "c"))), lambda x: x["c"]).alias("contexts"))
+    return told.select("qid", F.col("contexts")[0].alias("answer"), "contexts")
+
+
+def run_systems(cases: DataFrame, chunks: DataFrame, graph: DataFrame, top: int = 8, best: int = 5) -> DataFrame:
+    """(qid, system, answer, ground_truth, contexts) of three systems for every case (qid, question, ground_truth): lexical, reranked, graph.
+
+    ``graph`` (qid, answer, contexts) is what ``graph_contexts`` gives. The first system is cut to as many texts as the second.
+    """
+    found = lexical_search(cases, chunks, top)
+    told = lambda hits, name: contexts(hits, chunks).select("qid", F.lit(name).alias("system"), F.col("contexts")[0].alias("answer"), "contexts")
+    rows = told(found.where(F.col("rank") <= best), "vector_baseline").unionByName(told(rerank(cases, found, chunks, best), "vector_reranked"))
+    # a question that the graph says nothing on is a case all the same
+    said = cases.select("qid").join(graph, "qid", "left")
+    rows = rows.unionByName(said.select("qid", F.lit("graph_rag").alias("system"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts")))
+    return cases.select("qid", "ground_truth").join(rows, "qid")
+
+
+def judged_metrics(predictions: DataFrame, judge: Callable[[pd.DataFrame], dict[str, float]] | None = None) -> DataFrame:
+    """Metrics by system from a provider that judges a system's predictions; those of token overlaps where there is none, or where it fails."""
+    if judge is not None:
+        names = ["answer_relevancy", "context_precision", "context_recall", "faithfulness"]
+
+        def one(group: pd.DataFrame) -> pd.DataFrame:
+            told = judge(group)
+            return pd.DataFrame([{"system": group.system.iloc[0], **{n: float(told[n]) for n in names}}])
+
+        try:
+            rows = predictions.groupBy("system").applyInPandas(one, "system string, " + ", ".join(f"{n} double" for n in names)).collect()  # a row for each system
+            return predictions.sparkSession.createDataFrame(rows)
+        except Exception:  # a judge may fail in any way
+            pass
+    return answer_metrics(predictions)

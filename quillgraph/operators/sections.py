@@ -76,3 +76,16 @@ def enrich(chunks: DataFrame) -> DataFrame:
     ended = lambda tag: F.when(tag.rlike("[.!?]$"), tag).otherwise(F.concat(tag, F.lit(".")))
     out = out.withColumn("context_tag", T.let(T.fallback_context(F.col("source_label"), F.col("section_title")), ended))
     return out.withColumn("citation", T.citation_label(F.col("source_label"), F.col("section_title"))).withColumn("text", F.concat(F.lit("[CONTEXT: "), "context_tag", F.lit("]\n\n"), "original_text"))
+
+
+def dedupe_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, grp, ord, ...) without empty ids, of equal ids the first in order of group and place: one combined row a task and id."""
+    rest = [c for c in nodes.columns if c != "id"]
+    kept = nodes.where("trim(coalesce(id, '')) <> ''").groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("grp", "ord")).alias("n"))
+    return kept.select(*(F.col("id") if c == "id" else F.col(f"n.{c}") for c in nodes.columns))
+
+
+def section_summary(sections: DataFrame) -> DataFrame:
+    """(discard_reason, n, chars) of sections that ``filter_sections`` judged; ``kept`` for those that stay."""
+    reason = F.split(F.coalesce("discard_reason", F.lit("kept")), ":")[0].alias("discard_reason")
+    return sections.groupBy(reason).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))

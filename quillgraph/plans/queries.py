@@ -13,9 +13,10 @@ from quillgraph.operators import graph as G
 from quillgraph.operators import linking as L
 from quillgraph.operators import lookup as Q
 from quillgraph.operators import retrieval as R
-from quillgraph.plans.router import answer_questions
+from quillgraph.plans.router import answer_parts, answer_questions
 from quillgraph.plans.star import STAR, STAR_SQL, star_graph, table
 from quillgraph.sources import tables as S
+from quillgraph.sources.staging import stage
 from quillgraph.streaming.sessions import session_context
 
 QUERIES: dict = {}
@@ -129,7 +130,10 @@ def graph_merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_graphs(*_halves(spark, d), STAR, clean=False)[2]
 
 
-@query()
+@query(f"""WITH {STAR_SQL}, c AS (SELECT 'subjects_exist' AS "check", count(*) = 0 AS passed FROM rels WHERE subject NOT IN (SELECT name FROM ents) UNION ALL SELECT 'targets_exist', count(*) = 0 FROM rels WHERE target NOT IN (SELECT name FROM ents)
+    UNION ALL SELECT 'names_unique', count(*) = count(DISTINCT name) FROM ents UNION ALL SELECT 'triples_unique', count(*) = count(DISTINCT (subject, relation, target)) FROM rels
+    UNION ALL SELECT 'strength_in_range', count(*) = 0 FROM rels WHERE strength NOT BETWEEN 1 AND 10 UNION ALL SELECT 'names_filled', count(*) = 0 FROM ents WHERE trim(name) = ''
+    UNION ALL SELECT 'relation_names_valid', count(*) = 0 FROM rels WHERE NOT regexp_matches(relation, '^[A-Z][A-Z0-9_]*$') UNION ALL SELECT 'relations_sourced', count(*) = 0 FROM rels WHERE sources = '') SELECT * FROM c""")
 def structural_checks(spark: SparkSession, d: str) -> DataFrame:
     return G.structural_checks(*star_graph(spark, d))
 
@@ -149,13 +153,14 @@ def _payload_chunks(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'PART ' || l_partkey, 'PART', CAST(count(DISTINCT l_suppkey) AS INTEGER) FROM lineitem GROUP BY l_partkey""")
 def fold_entities(spark: SparkSession, d: str) -> DataFrame:
     raw, _ = G.explode_payloads(_payload_chunks(spark, d))
-    return G.fold_entities(G.named_entities(raw), STAR).select("name", "label", F.size("sources").alias("n_sources"))
+    return G.fold_entities(stage(G.named_entities(raw)), STAR).select("name", "label", F.size("sources").alias("n_sources"))
 
 
 @query("SELECT DISTINCT 'SUPPLIER ' || l_suppkey AS subject, 'SUPPLIES' AS relation, 'PART ' || l_partkey AS target, 8 AS strength, 'told' AS description FROM lineitem")
 def fold_relations(spark: SparkSession, d: str) -> DataFrame:
-    entities, relations = G.explode_payloads(_payload_chunks(spark, d))
-    return G.fold_relations(G.named_entities(entities), relations, STAR).select("subject", "relation", "target", "strength", "description")
+    entities, relations = G.explode_payloads(stage(_payload_chunks(spark, d)))
+    # names are worked out once, as every filter and join on them would do it again
+    return G.fold_relations(stage(G.named_entities(entities)), relations, STAR).select("subject", "relation", "target", "strength", "description")
 
 
 # --- lookups -------------------------------------------------------------------------------------------------
@@ -175,11 +180,37 @@ def forward_lookup(spark: SparkSession, d: str) -> DataFrame:
     return Q.forward_lookup(_asks(spark, d), *star_graph(spark, d)).select("qid", "name", "relation", "neighbor", "label", "strength", "rank")
 
 
-@query(f"""WITH {STAR_SQL}, asks AS (SELECT CAST(n_nationkey AS BIGINT) AS qid, upper(n_name) AS name FROM nation), both_ AS (SELECT subject AS s, relation, target AS t, 'outgoing' AS direction FROM rels UNION ALL SELECT target, relation, subject, 'incoming' FROM rels)
-    SELECT qid, asks.name, direction, relation, t AS neighbor FROM asks JOIN both_ ON asks.name = s JOIN ents ON ents.name = t""")
+@query(f"""WITH {STAR_SQL}, both_ AS (SELECT subject AS s, relation, target AS t, 'outgoing' AS direction FROM rels UNION ALL SELECT target, relation, subject, 'incoming' FROM rels)
+    SELECT asked.ord AS qid, asked.name, direction, relation, t AS neighbor FROM ents asked JOIN both_ ON asked.name = s JOIN ents ON ents.name = t""")
 def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asks = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("qid"), F.upper("n_name").alias("name"))
-    return Q.neighbors(asks, *star_graph(spark, d)).select("qid", "name", "direction", "relation", "neighbor")
+    e, r = star_graph(spark, d)
+    return Q.neighbors(e.select(F.col("ord").alias("qid"), "name"), e, r).select("qid", "name", "direction", "relation", "neighbor")
+
+
+@query(f"""WITH {STAR_SQL} SELECT asked.ord AS qid, asked.name, relation, target AS neighbor, strength, CAST(row_number() OVER (PARTITION BY asked.ord, asked.name, relation ORDER BY strength DESC, target) AS INTEGER) AS rank
+    FROM ents asked JOIN rels ON subject = asked.name JOIN ents ON ents.name = target""")
+def store_results(spark: SparkSession, d: str) -> DataFrame:
+    e, r = star_graph(spark, d)
+    found = Q.forward_lookup(e.select(F.col("ord").alias("qid"), "name"), e, r, drop_low_signal=False)
+    return Q.result_filter(found).select("qid", "name", "relation", "neighbor", "strength", "rank")
+
+
+@query(f"""WITH {STAR_SQL}, {_ASKS}, ids AS (SELECT DISTINCT qid, unnest(string_split(sources, ',')) AS chunk_id FROM asks JOIN rels ON subject = asks.name WHERE sources <> ''),
+    c AS (SELECT DISTINCT qid, CASE WHEN CAST(chunk_id AS INTEGER) % 2 = 0 THEN 'Orders ending in ' || chunk_id ELSE chunk_id END AS citation FROM ids)
+    SELECT qid, citation, CAST(row_number() OVER (PARTITION BY qid ORDER BY citation) AS INTEGER) AS rank FROM c QUALIFY rank <= 12""")
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    return Q.citations(Q.forward_lookup(_asks(spark, d), *star_graph(spark, d)), _order_chunks(spark))
+
+
+@query(f"""WITH {STAR_SQL}, {_ASKS}, ids AS (SELECT DISTINCT qid, unnest(string_split(sources, ',')) AS chunk_id FROM asks JOIN rels ON subject = asks.name WHERE sources <> '')
+    SELECT qid, chunk_id, 'Orders ending in ' || chunk_id AS citation, 'text ' || chunk_id AS text, CAST(row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS INTEGER) AS rank FROM ids WHERE CAST(chunk_id AS INTEGER) % 2 = 0 QUALIFY rank <= 6""")
+def source_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return Q.source_chunks(Q.forward_lookup(_asks(spark, d), *star_graph(spark, d)), _order_chunks(spark)).select("qid", "chunk_id", "citation", "text", "rank")
+
+
+def _order_chunks(spark: SparkSession) -> DataFrame:
+    """Payloads of the even ones among the supply relations' sources."""
+    return spark.range(0, 10, 2).selectExpr("cast(id as string) as chunk_id", "concat('Orders ending in ', id) as citation", "concat('text ', id) as text")
 
 
 @query(f"""WITH {STAR_SQL}, asks AS (SELECT p_partkey % 20 AS qid, 'PART ' || p_partkey AS name FROM part), hit AS (SELECT DISTINCT qid, subject, asks.name FROM asks JOIN rels ON target = asks.name AND relation = 'SUPPLIES'),
@@ -216,17 +247,39 @@ QUESTIONS = [
     (6, "What is suicidal behavior disorder?"), (7, "best pizza recipe"), (8, "What is depression?"), (9, "compare ptsd and panic disorder"), (10, "how do you distinguish ocd from autism today"), (11, "parts with steel and red finish"), (12, "which brands and nations"),
 ]
 _QS = "questions(qid, question) AS (VALUES " + ", ".join(f"({i}, '{_esc(q)}')" for i, q in QUESTIONS) + ")"
+_QB = _QS + ", searched AS (SELECT CAST(qid AS BIGINT) AS qid, question FROM questions UNION ALL SELECT 1000 + item_id, text FROM benchmark)"
 
 
 def questions_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "qid int, question string")
 
 
-@query(f"""WITH {STAR_SQL}, {_QS}, terms AS (SELECT qid, unnest(list_distinct([t FOR t IN regexp_extract_all(lower(question), '[a-z0-9]+') IF len(t) > 2 AND t NOT IN ({_list(C.QUERY_STOPWORDS)})])) AS term FROM questions),
+@query(f"""WITH {STAR_SQL}, {_QB}, terms AS (SELECT qid, unnest(list_distinct([t FOR t IN regexp_extract_all(lower(question), '[a-z0-9]+') IF len(t) > 2 AND t NOT IN ({_list(C.QUERY_STOPWORDS)})])) AS term FROM searched),
     hit AS (SELECT qid, name, label, count(*) AS score FROM ents JOIN terms ON contains(lower(name || ' ' || description), term) GROUP BY 1, 2, 3)
     SELECT qid, name, label, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS INTEGER) AS rank FROM hit QUALIFY rank <= 10""")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return Q.keyword_search(questions_df(spark), star_graph(spark, d)[0])
+    return Q.keyword_search(_searched(spark, d), star_graph(spark, d)[0])
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed questions and the benchmark's."""
+    return questions_df(spark).select(F.col("qid").cast("bigint").alias("qid"), "question").unionByName(table(spark, d, "benchmark").select((F.col("item_id") + 1000).alias("qid"), F.col("text").alias("question")))
+
+
+@query(f"""WITH {STAR_SQL}, {_QB}, terms AS (SELECT qid, unnest(list_distinct([t FOR t IN regexp_extract_all(lower(question), '[a-z0-9]+') IF len(t) > 2 AND t NOT IN ({_list(C.KEYWORD_STOPWORDS)})])) AS term FROM searched),
+    hit AS (SELECT qid, name, label, count(*) AS score FROM ents JOIN terms ON contains(lower(name), term) OR contains(lower(description), term) GROUP BY 1, 2, 3)
+    SELECT qid, name, label, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS INTEGER) AS rank FROM hit QUALIFY rank <= 10""")
+def store_text_search(spark: SparkSession, d: str) -> DataFrame:
+    return Q.store_text_search(_searched(spark, d), star_graph(spark, d)[0])
+
+
+@query(f"""WITH {_QB}, summaries AS (SELECT p_partkey AS community_id, 'Part ' || p_name || ' of type ' || p_type || ' by ' || p_brand AS summary FROM part),
+    terms AS (SELECT qid, unnest(list_distinct([t FOR t IN regexp_extract_all(lower(question), '[a-z0-9]+') IF t NOT IN ({_list(C.QUERY_STOPWORDS)})])) AS term FROM searched),
+    hit AS (SELECT qid, community_id, count(*) AS score FROM summaries JOIN terms ON contains(lower(summary), term) GROUP BY 1, 2)
+    SELECT qid, community_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, community_id) AS INTEGER) AS rank FROM hit QUALIFY rank <= 3""")
+def global_search(spark: SparkSession, d: str) -> DataFrame:
+    told = F.concat(F.lit("Part "), "p_name", F.lit(" of type "), "p_type", F.lit(" by "), "p_brand")
+    return Q.summary_search(_searched(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("community_id"), told.alias("summary")))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -257,11 +310,11 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     return R.rerank(_bench(spark, d), R.lexical_search(_bench(spark, d), _docs(spark, d)), _docs(spark, d))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10)
+@query("""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
     SELECT qid, vec_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8""")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    return R.dense_search(v.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), v)
+    return R.dense_search(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), v)
 
 
 _E = "list_distinct([t FOR t IN regexp_extract_all(lower({}), '[a-z0-9]+') IF len(t) > 2])"
@@ -312,7 +365,15 @@ def relation_intent(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("qid", P.relation_intent(F.col("question")).alias("intent"))
 
 
-@query()
+_KEYWORDS = f"[t FOR t IN regexp_extract_all(lower(question), '[a-z0-9]+') IF t IN ({_list(C.DOMAIN_KEYWORDS)})]"
+_ANY = lambda parts: "(" + " OR ".join(f"contains(lower(question), '{_esc(x)}')" for x in parts) + ")"
+
+
+@query(f"""WITH {_ASKED}, f AS (SELECT qid, question, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS q FROM asked),
+    m AS (SELECT qid, question, {", ".join(f"regexp_matches(q, '{_re(p)}') AS {k}" for k, p in C.CRISIS_SIGNALS.items())}, regexp_matches(q, '{_re(C.INFORMATIONAL)}') AND NOT regexp_matches(q, '{_re(C.FIRST_PERSON)}') AS asking,
+        {_ANY(C.SYMPTOM_PATTERNS + C.FOLLOW_UPS)} AND len([t FOR t IN regexp_extract_all(lower(question), '[a-z0-9]+') IF t IN ({_list(C.CUE_WORDS)})]) > 0 AS symptoms FROM f)
+    SELECT qid, CASE WHEN (explicit_self_harm_intent OR imminence_or_plan OR severe_distress) AND NOT (asking AND NOT imminence_or_plan AND NOT severe_distress) THEN 'CRISIS'
+        WHEN len({_KEYWORDS}) > 0 OR symptoms OR {_INTENT} <> 'general' THEN 'IN_SCOPE' ELSE 'OUT_OF_SCOPE' END AS scope, symptoms, {_ANY(C.COMPARISON_PARTS)} AS comparison FROM m""")
 def scope_class(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("qid", P.scope(F.col("question"), F.lit(False)).alias("scope"), P.is_natural_symptom_question(F.col("question")).alias("symptoms"), P.is_comparison(F.col("question")).alias("comparison"))
 
@@ -333,10 +394,10 @@ def names_normal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.normalize_name(n).alias("normal"), T.compact_name(n).alias("compact"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en')
+@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
     SELECT doc_id, CASE WHEN length(t) <= 420 THEN t ELSE rtrim(substr(t, 1, 417)) || '...' END AS excerpt FROM c""")
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+    return table(spark, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_extract(url, '([^/\\]*)[/\\]*$', 1) AS base FROM pages")
@@ -350,15 +411,27 @@ def source_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", label.alias("label"), T.citation_label(label, F.concat(F.lit("**Part** / "), F.col("doc_id").cast("string"))).alias("citation"))
 
 
-@query(f"""WITH c AS (SELECT doc_id, text AS t FROM documents WHERE lang = 'en'), l AS (SELECT doc_id, count(*) FILTER (trim(x) <> '') AS line_count, count(*) FILTER (trim(x) <> '' AND contains(x, '|')) AS tables FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM c) GROUP BY doc_id)
-    SELECT doc_id, CAST(line_count AS INTEGER) AS line_count, round(tables / greatest(line_count, 1), 6) AS table_ratio, CAST(len(regexp_extract_all(t, '[.!?]+')) AS INTEGER) AS sentence_count,
-    array_to_string(list_sort([s FOR s IN [{_list(C.CLINICAL_SIGNALS)}] IF contains(lower(t), s)]), ',') AS hits FROM c JOIN l USING (doc_id)""")
+_CLEAN = r"""lines AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')) AS x, generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), 1) AS i FROM documents),
+    flat AS (SELECT doc_id, i, x, trim(x) AS f, trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g'), '[*_`~]+', '', 'g'), '[™®]', ' ', 'g'), '[‐-―]', '-', 'g'), '\s+', ' ', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS h FROM lines),
+    kept AS (SELECT doc_id, i, CASE WHEN f = '' THEN '' ELSE x END AS x FROM flat WHERE f = '' OR NOT (regexp_matches(f, '(?i)^\*\*(?:==> picture .* omitted <==|----- (?:Start|End) of picture text -----)\*\*(?:<br>)?$') OR regexp_matches(h, '(?i)^(?:page\s+)?(?:\d+|[ivxlcdm]+|[a-z]?\d+)$') OR regexp_matches(h, '(?i)^[ivxlcdm]+$'))),
+    clean AS (SELECT d.doc_id, coalesce(regexp_replace(regexp_replace(string_agg(x, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') AS t FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id),
+    parts AS (SELECT doc_id, t, [x FOR x IN string_split(t, chr(10)) IF trim(x) <> ''] AS ls FROM clean)"""
+_HITS = f"list_sort([s FOR s IN [{_list(C.CLINICAL_SIGNALS)}] IF contains(lower(chr(10) || t), s)])"
+_QUALITY = f"""quality AS (SELECT doc_id, CAST(length(t) AS INTEGER) AS char_count, CAST(len([w FOR w IN string_split_regex(t, '\\s+') IF w <> '']) AS INTEGER) AS word_count, CAST(len(ls) AS INTEGER) AS line_count,
+    len([x FOR x IN ls IF regexp_matches(x, '^\\s*(?:[-*•]|\\d+\\.|[A-Z]\\.|[a-z]\\)|\\([a-z]\\))\\s+')]) / greatest(len(ls), 1) AS list_ratio, len([x FOR x IN ls IF contains(x, '|')]) / greatest(len(ls), 1) AS table_ratio,
+    length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) / greatest(length(regexp_replace(t, '\\s', '', 'g')), 1) AS alpha_ratio, CAST(len(regexp_extract_all(t, '[.!?]+')) AS INTEGER) AS sentence_count,
+    CAST(len(regexp_extract_all(t, '\\b[A-TV-Z][0-9][0-9AB](?:\\.[A-Z0-9]{{1,4}})?\\b')) AS INTEGER) AS icd_code_count, {_HITS} AS hits FROM parts)"""
+
+
+@query(f"""WITH {_CLEAN}, {_QUALITY} SELECT doc_id, char_count, word_count, line_count, round(list_ratio, 6) AS list_ratio, round(table_ratio, 6) AS table_ratio, round(alpha_ratio, 6) AS alpha_ratio, sentence_count, icd_code_count, array_to_string(hits, ',') AS hits FROM quality""")
 def chunk_quality(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "documents").where("lang = 'en'").select("doc_id", P.chunk_quality(F.col("text"), F.lit("")).alias("q"))
-    return q.select("doc_id", "q.line_count", F.round("q.table_ratio", 6).alias("table_ratio"), "q.sentence_count", F.array_join("q.clinical_hits", ",").alias("hits"))
+    q = table(spark, d, "documents").select("doc_id", P.chunk_quality(F.col("text"), F.lit("")).alias("q"))
+    ratio = lambda c: F.round(f"q.{c}", 6).alias(c)
+    return q.select("doc_id", "q.char_count", "q.word_count", "q.line_count", ratio("list_ratio"), ratio("table_ratio"), ratio("alpha_ratio"), "q.sentence_count", "q.icd_code_count", F.array_join("q.clinical_hits", ",").alias("hits"))
 
 
-@query()
+@query(f"""WITH {_CLEAN}, {_QUALITY}, r AS (SELECT CASE WHEN char_count < 150 THEN 'too_short' WHEN table_ratio > 0.30 AND len(hits) = 0 THEN 'table_heavy' WHEN list_ratio > 0.70 AND char_count < 600 AND len(hits) = 0 THEN 'list_heavy'
+    WHEN icd_code_count >= 3 AND char_count < 1000 AND len(hits) = 0 THEN 'code_heavy' WHEN alpha_ratio < 0.50 THEN 'low_alpha_ratio' WHEN len(hits) = 0 THEN 'no_clinical_signal' ELSE 'ok' END AS reason FROM quality) SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def chunk_keep_reasons(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "documents").select(P.chunk_quality(F.col("text"), F.lit("")).alias("q"))
     return q.select(F.split(P.keep_reason(F.col("q")), ":")[0].alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
@@ -372,53 +445,101 @@ def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
     return split_sections(pages, "markdown").select("doc_id", "idx", "level", "header", "header_path", F.length("content").alias("chars"))
 
 
-@query("""WITH a AS (SELECT doc_id AS chunk_id, source AS v FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS chunk_id, lang AS v FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH a AS (SELECT doc_id AS chunk_id, CASE WHEN source = lang THEN source ELSE '1' END AS v FROM documents), b AS (SELECT doc_id AS chunk_id, CAST(max(quality) AS VARCHAR) AS v FROM labels GROUP BY doc_id)
     SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(b.v, a.v) AS value, coalesce(a.v <> b.v, false) AS collides FROM a FULL JOIN b ON a.chunk_id = b.chunk_id""")
 def chunk_map_merge(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return G.merge_chunk_maps(docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("value")), docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("value")))
+    first = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("source") == F.col("lang"), F.col("source")).otherwise("1").alias("value"))
+    return G.merge_chunk_maps(first, table(spark, d, "labels").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.max("quality").cast("string").alias("value")))
+
 
+@query("""WITH n AS (SELECT CAST(doc_id % 700 AS VARCHAR) AS id, lang AS grp, doc_id AS ord, source FROM documents)
+    SELECT id, grp, ord, source FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY grp, ord) = 1""")
+def dedupe_nodes(spark: SparkSession, d: str) -> DataFrame:
+    from quillgraph.operators.sections import dedupe_nodes as first_of
 
-@query(f"""WITH RECURSIVE {STAR_SQL}, edges AS (SELECT subject AS a, target AS b FROM rels WHERE relation IN ('IN_REGION', 'IN_NATION') UNION ALL SELECT target, subject FROM rels WHERE relation IN ('IN_REGION', 'IN_NATION')),
-    reach AS (SELECT DISTINCT a AS name, a AS seen FROM edges UNION SELECT reach.name, b FROM reach JOIN edges ON seen = a) SELECT name, min(seen) AS component FROM reach GROUP BY name""")
+    return first_of(table(spark, d, "documents").select((F.col("doc_id") % 700).cast("string").alias("id"), F.col("lang").alias("grp"), F.col("doc_id").alias("ord"), "source"))
+
+
+@query("""WITH n AS (SELECT count(DISTINCT (l_suppkey, l_partkey)) AS pairs, count(DISTINCT l_suppkey) AS chunks FROM lineitem)
+    SELECT 'json_parse_errors' AS counter, count(*) FILTER (s % 10 = 0) AS n FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem) UNION ALL SELECT 'type_conflicts', 0 UNION ALL SELECT 'garbage_rejected', 0 UNION ALL SELECT 'semantic_rejected', 0
+    UNION ALL SELECT 'skipped_triplets', count(DISTINCT (l_suppkey, l_partkey)) FROM lineitem WHERE l_suppkey % 10 = 1""")
+def extraction_stats(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _payload_chunks(spark, d)
+    broken = F.when(F.col("chunk_seq") % 10 == 0, "{broken").when(F.col("chunk_seq") % 10 == 1, F.replace(F.col("payload"), F.lit('"supplies"'), F.lit('"unheard_of"'))).otherwise(F.col("payload"))
+    return G.extraction_stats(chunks.withColumn("payload", broken), STAR)
+
+
+@query(f"""WITH RECURSIVE {STAR_SQL}, edges AS MATERIALIZED (SELECT subject AS a, target AS b FROM rels UNION SELECT target, subject FROM rels),
+    lab(name, component) USING KEY (name) AS (SELECT DISTINCT a, a FROM edges UNION SELECT e.b, min(l.component) FROM lab l JOIN edges e ON e.a = l.name JOIN recurring.lab cur ON cur.name = e.b WHERE l.component < cur.component GROUP BY e.b)
+    SELECT name, component FROM lab""")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return CM.connected_components(CM.undirected(star_graph(spark, d)[1].where("relation in ('IN_REGION', 'IN_NATION')")))
+    return CM.connected_components(CM.undirected(star_graph(spark, d)[1]))
 
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return CM.communities(star_graph(spark, d)[1].where("relation in ('IN_REGION', 'IN_NATION')"))
+    return CM.communities(star_graph(spark, d)[1])
 
 
 @query()
 def community_summaries(spark: SparkSession, d: str) -> DataFrame:
     e, r = star_graph(spark, d)
-    small = r.where("relation in ('IN_REGION', 'IN_NATION')")
-    return CM.summaries(CM.communities(small), e, small)
+    return CM.summaries(CM.communities(r), e, r)
 
 
 @query()
 def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
-    kinds = star_graph(spark, d)[0].where("label in ('PTYPE', 'BRAND')")
-    typos = kinds.select((F.col("ord") % 1_000_000).alias("qid"), F.concat(F.lit("where is "), F.regexp_replace(F.lower("name"), "^(..).", "$1"), F.lit(" then")).alias("question"))
-    return L.link_fuzzy(typos, kinds)
+    e = star_graph(spark, d)[0]
+    typos = e.select(F.col("ord").alias("qid"), F.concat(F.lit("where is "), F.regexp_replace(F.lower("name"), "^(..).", "$1"), F.lit(" then")).alias("question"))
+    return L.link_fuzzy(typos, e)
 
 
-@query("SELECT CAST(a.n_nationkey AS BIGINT) AS qid, upper(a.n_name) AS name, 'NATION' AS label FROM nation a")
+@query(f"""WITH {STAR_SQL}, n AS (SELECT name, label, ord, trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) AS k FROM ents), q AS (SELECT ord AS qid, ' AND WHAT OF ' || k || ' PLEASE ' AS asked FROM n)
+    SELECT DISTINCT qid, name, label FROM q JOIN n ON contains(asked, ' ' || k || ' ')""")
 def exact_link(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("qid"), F.concat(F.lit("and what of "), F.lower("n_name"), F.lit(", please?")).alias("question"))
-    return L.link_exact(asked, star_graph(spark, d)[0].where("label = 'NATION'"))
-
-
-@query()
+    e = star_graph(spark, d)[0]
+    return L.link_exact(e.select(F.col("ord").alias("qid"), F.concat(F.lit("and what of "), F.lower("name"), F.lit(", please?")).alias("question")), e)
+
+
+_REPAIR = [("THE", ["THE", "OF THE"], ["the", "src1"]), ("UND", ["UND", "DER"], ["der", "src2"])]
+_SCORE = " UNION ALL ".join(
+    f"""SELECT '{t}' AS target, chunk_seq, (CASE WHEN {" OR ".join(f"contains(c, ' {a} ')" for a in al)} THEN 20 ELSE 0 END + CASE WHEN {" OR ".join(f"contains(x, ' {a} ')" for a in al)} THEN 18 ELSE 0 END
+    + CASE WHEN {" OR ".join(f"contains(replace(x, ' ', ''), '{a.replace(' ', '')}')" for a in al)} THEN 12 ELSE 0 END + {" + ".join(f"12 * CAST(contains(lower(section), '{h}') AS INTEGER) + 5 * CAST(contains(lower(text), '{h}') AS INTEGER)" for h in hs)}) AS score,
+    ({" OR ".join(f"contains(x, ' {a} ') OR contains(c, ' {a} ')" for a in al)}) AS anchor FROM t"""
+    for t, al, hs in _REPAIR
+)
+
+
+@query(f"""WITH t AS (SELECT doc_id AS chunk_seq, source AS section, text, ' ' || trim(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g')) || ' ' AS x, ' ' || trim(regexp_replace(upper(lang), '[^A-Z0-9]+', ' ', 'g')) || ' ' AS c FROM documents),
+    s AS ({_SCORE}), g AS (SELECT *, CASE WHEN chunk_seq - lag(chunk_seq) OVER w > 4 THEN 1 ELSE 0 END AS fresh FROM s WHERE anchor WINDOW w AS (PARTITION BY target ORDER BY chunk_seq)),
+    i AS (SELECT target, chunk_seq, sum(fresh) OVER (PARTITION BY target ORDER BY chunk_seq) AS island FROM g), z AS (SELECT target, island, count(*) AS n, min(chunk_seq) AS a, max(chunk_seq) AS b FROM i GROUP BY 1, 2),
+    best AS (SELECT target, a, b FROM z QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, a) = 1),
+    f AS (SELECT s.*, best.a, CASE WHEN chunk_seq < best.a THEN best.a - chunk_seq WHEN chunk_seq > best.b THEN chunk_seq - best.b ELSE 0 END AS far FROM s LEFT JOIN best USING (target)),
+    p AS (SELECT target, chunk_seq, CAST(score + CASE WHEN a IS NULL THEN 0 WHEN far = 0 THEN 18 WHEN far <= 2 THEN 10 WHEN far <= 4 THEN 4 ELSE 0 END AS INTEGER) AS score FROM f WHERE NOT (a IS NOT NULL AND far > 4 AND score < 28))
+    SELECT target, chunk_seq, score, CAST(row_number() OVER (PARTITION BY target ORDER BY score DESC, chunk_seq) AS INTEGER) AS rank FROM p WHERE score >= 18 QUALIFY rank <= 6""")
 def repair_select(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_seq"), F.col("source").alias("section"), F.col("lang").alias("context"), "text")
-    targets = spark.createDataFrame([("THE", ["THE", "OF THE"], ["the", "src1"]), ("UND", ["UND", "DER"], ["der", "src2"])], "target string, aliases array<string>, hints array<string>")
-    return G.select_repair_chunks(G.repair_scores(chunks, targets))
+    return G.select_repair_chunks(G.repair_scores(chunks, spark.createDataFrame(_REPAIR, "target string, aliases array<string>, hints array<string>")))
+
+
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph of the tables with the one for questions in prose beside it, and payloads for both."""
+    from quillgraph.plans.demo import demo_graph
+
+    (e, r, c), (se, sr) = demo_graph(spark), star_graph(spark, d)
+    return e.unionByName(se), r.unionByName(sr), c.unionByName(_order_chunks(spark))
 
 
 @query()
 def hybrid_answers(spark: SparkSession, d: str) -> DataFrame:
-    from quillgraph.plans.demo import demo_graph
+    e, r, c = _whole(spark, d)
+    asked = _asked(spark, d).unionByName(table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("bigint").alias("qid"), F.concat(F.lit("what about "), F.lower("n_name")).alias("question")))
+    return answer_questions(asked, e, r, c, CM.summaries(CM.communities(r), e, r))
 
-    return answer_questions(questions_df(spark).withColumn("qid", F.col("qid").cast("bigint")), *demo_graph(spark))
+
+@query()
+def eval_systems(spark: SparkSession, d: str) -> DataFrame:
+    e, r, c = _whole(spark, d)
+    cases = _bench(spark, d).withColumn("ground_truth", F.col("question"))
+    graph = R.graph_contexts(answer_parts(cases.select("qid", "question"), e, r, c), c)
+    return R.answer_metrics(R.run_systems(cases, _docs(spark, d), graph))

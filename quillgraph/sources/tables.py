@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +98,9 @@ def source_state(files: DataFrame) -> DataFrame:
 
 
 def nodes_hash(chunks: DataFrame) -> DataFrame:
-    """One fingerprint that depends on the order of chunks (chunk_seq, text): each digest covers its position."""
-    digest = F.xxhash64("chunk_seq", F.coalesce("original_text" if "original_text" in chunks.columns else "text", F.lit(""))).cast("decimal(38,0)")
+    """One fingerprint that depends on the order of chunks (chunk_seq, text): each digest covers its position, and id, file, header path and section where there are such columns."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("chunk_id", "file_path", "header_path", "section_title") if c in chunks.columns]
+    digest = F.xxhash64("chunk_seq", F.coalesce("original_text" if "original_text" in chunks.columns else "text", F.lit("")), *told).cast("decimal(38,0)")
     return chunks.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(digest), F.lit(0)).cast("string")), 256).alias("nodes_hash"))
 
 
@@ -195,9 +198,84 @@ def graph_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return a.unionByName(relations.groupBy(F.col("relation").alias("key")).agg(F.count("*").alias("n")).select(F.lit("relation").alias("kind"), "key", "n"))
 
 
-def unprocessed(chunks: DataFrame, done: DataFrame, version: str) -> DataFrame:
-    """Chunks that a partial run (chunk_id, version) of the same version has not done."""
-    return chunks.join(done.where(F.col("version") == version).select("chunk_id"), "chunk_id", "left_anti")
+def unprocessed(chunks: DataFrame, done: DataFrame, **guard: str) -> DataFrame:
+    """Chunks that an earlier run (chunk_id and the columns of ``guard``) has not done; a run counts only if version, nodes_hash, model and the like all agree."""
+    for column, wanted in guard.items():
+        done = done.where(F.col(column) == wanted)
+    return chunks.join(done.select("chunk_id").distinct(), "chunk_id", "left_anti")
+
+
+def append_progress(rows: DataFrame, path: str) -> None:
+    """What a run has done, as further JSON lines."""
+    rows.write.mode("append").json(path)
+
+
+def save_communities(members: DataFrame, summaries: DataFrame, path: str) -> None:
+    members.write.mode("overwrite").parquet(f"{path}/communities")
+    summaries.write.mode("overwrite").parquet(f"{path}/community_summaries")
+
+
+def load_or_build_communities(spark: SparkSession, path: str, build: Callable[[], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(members, summaries) as saved; built and saved where there are none. Rows whose id is no number are passed over."""
+    try:
+        members = spark.read.parquet(f"{path}/communities").where(F.expr("try_cast(community_id as bigint)").isNotNull())
+        if not members.isEmpty():
+            return members, spark.read.parquet(f"{path}/community_summaries")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    save_communities(*build(), path)
+    return spark.read.parquet(f"{path}/communities"), spark.read.parquet(f"{path}/community_summaries")
+
+
+def with_retries(call: Callable[[], object], tries: int = 4, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+    """The call's result; after an error it is made again, each time after twice the wait, and the last error is raised."""
+    for n in range(tries):
+        try:
+            return call()
+        except Exception:
+            if n == tries - 1:
+                raise
+            sleep(wait * 2**n)
+
+
+def manifest_fingerprint(files: DataFrame) -> DataFrame:
+    """One fingerprint of files (path, size, modified), whatever the order of rows."""
+    digest = F.xxhash64("path", "size", F.col("modified").cast("string")).cast("decimal(38,0)")
+    return files.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(digest), F.lit(0)).cast("string"), F.coalesce(F.sum((digest * 31) % 1000003), F.lit(0)).cast("string")), 256).alias("fingerprint"))
+
+
+def discover_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, size, modified) of the files below a folder, each once."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return raw.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).distinct()
+
+
+def manifest_entries(sources: DataFrame, converted: DataFrame) -> DataFrame:
+    """Entries of sources (with output and status) after conversion (output, markdown, error): ``converted`` or ``failed`` where tried, else the status so far."""
+    told = converted.select("output", F.length("markdown").alias("markdown_char_count"), "error")
+    done = sources.join(told, "output", "left")
+    status = F.when(F.col("status") == "skipped_existing", F.col("status")).when(F.col("error").isNotNull(), "failed").when(F.col("markdown_char_count") > 0, "converted").when(F.col("markdown_char_count") == 0, "failed").otherwise(F.col("status"))
+    return done.withColumn("status", status).withColumn("error", F.when((F.col("markdown_char_count") == 0) & F.col("error").isNull(), "empty").otherwise(F.col("error")))
+
+
+def require_same_nodes(graph_hash: str, chunks_hash: str) -> None:
+    """ValueError unless a graph was built from these chunks."""
+    if graph_hash != chunks_hash:
+        raise ValueError("the graph was built from other chunks: their hashes differ")
+
+
+def save_predictions(predictions: DataFrame, path: str) -> None:
+    predictions.write.mode("overwrite").json(path)
+
+
+def summary_markdown(metrics: DataFrame) -> DataFrame:
+    """(markdown): a table of the metrics by system, to four places."""
+    names = [c for c in metrics.columns if c != "system"]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "system", *(F.format_string("%.4f", F.col(c)) for c in names)), F.lit(" |"))
+    head = f"| system | {' | '.join(names)} |\n|{'-|' * (len(names) + 1)}\n"
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("system", line.alias("line")))), lambda x: x["line"]), "\n")  # a row for each system
+    return metrics.agg(F.concat(F.lit(head), rows, F.lit("\n")).alias("markdown"))
 
 
 def load_eval_cases(spark: SparkSession, path: str) -> DataFrame:

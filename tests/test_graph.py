@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.config import CLINICAL, TRIPLES, TYPE_PRIORITY
@@ -229,3 +230,76 @@ def test_repair(spark):
     told = json.dumps({"entities": [{"id": "a", "name": "panic disorder", "type": "CONDITION", "description": ""}, {"id": "b", "name": "prevalence", "type": "PREVALENCE_STATEMENT", "description": "Three in a hundred."}], "relations": [{"source": "a", "target": "b", "relation": "HAS_PREVALENCE", "description": "x", "strength": 7}]})
     _, relations = G.repair_graph((e, r), chunks, [{"condition": "PANIC DISORDER", "relations": ["HAS_PREVALENCE"], "hints": ["prevalence"]}], lambda c: c.select("chunk_seq", "chunk_id", F.lit(told).alias("payload")))
     assert [(x.target, x.strength, x.sources) for x in relations.where("subject = 'PANIC DISORDER' and relation = 'HAS_PREVALENCE'").collect()] == [("THREE IN A HUNDRED", 7, ["k0"])]
+
+
+def test_extraction_counts_and_curated_facts(spark):
+    told = {"entities": [{"id": "a", "name": "panic disorder", "type": "CONDITION"}, {"id": "b", "name": "support", "type": "SYMPTOM"}, {"id": "c", "name": "thing", "type": "NOTHING"}, {"id": "d", "name": "behavior", "type": "SYMPTOM"}, {"id": "e", "name": "trembling", "type": "SYMPTOM"}],
+            "relations": [{"source": "a", "target": "e", "relation": "HAS_SYMPTOM"}, {"source": "a", "target": "c", "relation": "HAS_SYMPTOM"}, {"source": "e", "target": "a", "relation": "HAS_SYMPTOM"}]}
+    chunks = spark.createDataFrame([(0, "k0", json.dumps(told)), (1, "k1", "{broken"), (2, "k2", ""), (3, "k3", None)], "chunk_seq bigint, chunk_id string, payload string")
+    assert {r.counter: r.n for r in G.extraction_stats(chunks).collect()} == {"json_parse_errors": 1, "type_conflicts": 1, "garbage_rejected": 1, "semantic_rejected": 1, "skipped_triplets": 2}
+    e, r, _ = demo_graph(spark)
+    texts = spark.createDataFrame([(0, "t0", "They tremble in panic."), (1, "t1", "Nothing here.")], "chunk_seq bigint, chunk_id string, text string")
+    specs = spark.createDataFrame([("s1", ["TREMBLE"], json.dumps(told)), ("s2", ["never"], json.dumps({"entities": [{"id": "a", "name": "panic disorder", "type": "CONDITION"}, {"id": "f", "name": "dread", "type": "SYMPTOM"}], "relations": [{"source": "a", "target": "f", "relation": "HAS_SYMPTOM"}]}))], "spec string, hints array<string>, payload string")
+    reset = spark.createDataFrame([("PANIC DISORDER", "TREATED_BY")], "subject string, relation string")
+    _, rels = G.curated_repair((e, r), texts, specs, reset)
+    assert {(x.relation, x.target): x.sources for x in rels.where("subject = 'PANIC DISORDER'").collect()} == {("HAS_SYMPTOM", "TREMBLING"): ["t0"], ("HAS_SYMPTOM", "DREAD"): ["s2"]}
+    meta = G.with_lineage(G.with_lineage({}, {"directory": "x"}), {"directory": "x", "n": 2})
+    assert meta == {"lineage": [{"directory": "x"}]} and len(G.with_lineage(meta, {"directory": "y"})["lineage"]) == 2
+
+
+def test_three_systems_and_providers(spark):
+    from quillgraph.operators import retrieval as R
+    from quillgraph.plans.router import answer_parts
+
+    e, r, c = demo_graph(spark)
+    cases = spark.createDataFrame([(1, "What are the symptoms of depression?", "fatigue and loss of appetite"), (2, "best pizza recipe", "flour water salt")], "qid bigint, question string, ground_truth string")
+    chunks = spark.createDataFrame([(1, "depression symptoms fatigue", "A"), (2, "pizza flour recipe", "B")], "chunk_id bigint, text string, citation string")
+    rows = R.run_systems(cases, chunks, R.graph_contexts(answer_parts(cases.select("qid", "question"), e, r, c), c))
+    got = {(x.qid, x.system): x for x in rows.collect()}
+    assert len(got) == 6 and "FATIGUE" in got[1, "graph_rag"].answer and got[2, "graph_rag"].contexts == [] and "Citations:" in got[1, "graph_rag"].contexts[-1]
+    metrics = R.answer_metrics(rows)
+    assert {x.system for x in metrics.collect()} == {"vector_baseline", "vector_reranked", "graph_rag"} and metrics.collect()[0].faithfulness >= 0
+    assert S.summary_markdown(metrics).first().markdown.count("|\n") == 5
+
+    def fails(group):
+        raise OSError("no judge")
+
+    assert R.judged_metrics(rows, fails).count() == 3
+    assert {x.faithfulness for x in R.judged_metrics(rows, lambda g: dict.fromkeys(["answer_relevancy", "context_precision", "context_recall", "faithfulness"], 0.5)).collect()} == {0.5}
+    hits = R.lexical_search(cases, chunks)
+    best = R.model_rerank(cases, hits, chunks, lambda pairs: [float(len(t)) for _, t in pairs], 1).collect()
+    assert {(x.qid, x.chunk_id, x.score, x.rank) for x in best} == {(1, 1, 27.0, 1), (2, 2, 18.0, 1)}
+
+
+def test_stores_and_guards(spark, tmp_path):
+    members, told = spark.createDataFrame([(0, "A"), (0, "B")], "community_id bigint, name string"), spark.createDataFrame([(0, 2, "s")], "community_id bigint, size bigint, summary string")
+    built = []
+    build = lambda: built.append(1) or (members, told)
+    for _ in range(2):
+        m, t = S.load_or_build_communities(spark, str(tmp_path / "c"), build)
+        assert m.count() == 2 and t.first().summary == "s" and built == [1]
+    chunks, done = spark.createDataFrame([("a",), ("b",), ("c",)], "chunk_id string"), spark.createDataFrame([("a", "1", "h"), ("b", "1", "other")], "chunk_id string, version string, nodes_hash string")
+    assert sorted(x.chunk_id for x in S.unprocessed(chunks, done, version="1", nodes_hash="h").collect()) == ["b", "c"]
+    for n in range(2):
+        S.append_progress(chunks, str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).count() == 6
+    waits, tries = [], iter([OSError(), OSError(), "done"])
+
+    def call():
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert S.with_retries(call, sleep=waits.append) == "done" and waits == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        S.require_same_nodes("a", "b")
+    sources = spark.createDataFrame([("o1", "pending"), ("o2", "pending"), ("o3", "skipped_existing"), ("o4", "pending")], "output string, status string")
+    done = spark.createDataFrame([("o1", "text", None), ("o2", None, "OSError: x"), ("o4", "", None)], "output string, markdown string, error string")
+    assert {x.output: x.status for x in S.manifest_entries(sources, done).collect()} == {"o1": "converted", "o2": "failed", "o3": "skipped_existing", "o4": "failed"}
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "a.pdf").write_bytes(b"1")
+    (tmp_path / "d" / "e" / "b.pdf").write_bytes(b"22")
+    files = S.discover_files(spark, str(tmp_path / "d"))
+    one = S.manifest_fingerprint(files).first().fingerprint
+    assert sorted(x.size for x in files.collect()) == [1, 2] and one == S.manifest_fingerprint(files.repartition(2)).first().fingerprint != S.manifest_fingerprint(files.where("size = 1")).first().fingerprint
