@@ -146,7 +146,9 @@ def _payload_chunks(spark: SparkSession, d: str) -> DataFrame:
     parts = F.transform("parts", lambda p: ent(F.concat(F.lit("p"), p.cast("string")), F.concat(F.lit("part/"), p.cast("string")), "PART"))
     links = F.transform("parts", lambda p: F.struct(F.lit("s").alias("source"), F.concat(F.lit("p"), p.cast("string")).alias("target"), F.lit("supplies").alias("relation"), F.lit("told").alias("description"), F.lit("high").alias("strength")))
     payload = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.concat(F.array(ent(F.lit("s"), me, "SUPPLIER")), parts).alias("entities"), links.alias("relations"))), F.lit("\n```"))
-    return rows.select(F.col("l_suppkey").alias("chunk_seq"), F.concat(F.lit("c"), "l_suppkey").alias("chunk_id"), payload.alias("payload"))
+    chunks = rows.select(F.col("l_suppkey").alias("chunk_seq"), F.concat(F.lit("c"), "l_suppkey").alias("chunk_id"), payload.alias("payload"))
+    # few bytes, but much work for each of them
+    return stage(chunks.repartition(spark.sparkContext.defaultParallelism, "chunk_seq"), "payloads")
 
 
 @query("""SELECT 'SUPPLIER ' || l_suppkey AS name, 'SUPPLIER' AS label, 1 AS n_sources FROM lineitem GROUP BY l_suppkey
@@ -158,7 +160,7 @@ def fold_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT 'SUPPLIER ' || l_suppkey AS subject, 'SUPPLIES' AS relation, 'PART ' || l_partkey AS target, 8 AS strength, 'told' AS description FROM lineitem")
 def fold_relations(spark: SparkSession, d: str) -> DataFrame:
-    entities, relations = G.explode_payloads(stage(_payload_chunks(spark, d)))
+    entities, relations = G.explode_payloads(_payload_chunks(spark, d))
     # names are worked out once, as every filter and join on them would do it again
     return G.fold_relations(stage(G.named_entities(entities)), relations, STAR).select("subject", "relation", "target", "strength", "description")
 
