@@ -113,6 +113,37 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_embed_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), good AS (
+            SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+        reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.seen = link.a),
+        comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON a = vec_id
+    """,
+    "op8_warc_revisits": r"""
+        WITH u AS (
+            SELECT page_id, url, coalesce(html, '') AS html, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)) AS host,
+                regexp_extract(url, '://(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:]*):(\d+)', 1) AS port, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^?#]*\?([^#]*)', 1) AS query FROM pages
+        ), k AS (
+            SELECT page_id, html, CASE WHEN scheme <> '' AND host <> '' THEN scheme || '://' || regexp_replace(host, '\.$', '') || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
+                || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END END AS url_key
+            FROM (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_[a-z]+|fbclid|gclid)='))) AS ps FROM u)
+        ), c AS (
+            SELECT page_id * 3 + visit AS record_id, url_key, visit, 1700000000 + page_id * 60 + visit * 86400 AS told_at, md5(html) AS tag, sha256(html) AS digest, visit = 2 AND page_id % 7 = 0 AS changed FROM k, (VALUES (0), (1), (2)) v(visit)
+        ), f AS (SELECT * FROM c WHERE visit = 0),
+        o AS (
+            SELECT r.record_id, max_by(struct_pack(id := f.record_id, tag := f.tag, digest := f.digest), struct_pack(a := f.told_at, id := f.record_id)) AS o FROM c r JOIN f ON f.url_key = r.url_key AND (f.told_at < r.told_at OR (f.told_at = r.told_at AND f.record_id < r.record_id)) WHERE r.visit > 0 GROUP BY r.record_id
+        ), j AS (
+            SELECT c.*, o.o, CASE WHEN visit = 0 THEN 'full' WHEN o.o IS NULL OR url_key IS NULL THEN 'orphan' WHEN NOT changed AND o.o.tag = c.tag THEN 'resolved' ELSE 'mismatch' END AS status,
+                '"' || replace(CASE WHEN visit = 0 THEN '"' || tag || '"' WHEN changed THEN '"changed"' ELSE 'W/"' || tag || '"' END, '"', '\"') || '"' AS etag, '"' || strftime(make_timestamp(told_at * 1000000), '%Y-%m-%d %H:%M:%S') || '"' AS told FROM c LEFT JOIN o USING (record_id)
+        )
+        SELECT record_id, url_key, status, CASE WHEN status = 'resolved' THEN o.id END AS refers_to, CASE WHEN status = 'full' THEN digest WHEN status = 'resolved' THEN o.digest END AS payload_digest,
+            '[' || CASE WHEN status IN ('full', 'resolved') THEN '{"key":"content-type","value":"text/html"},' ELSE '' END || '{"key":"date","value":' || told || '},{"key":"etag","value":' || etag || '}' || CASE WHEN status IN ('full', 'resolved') THEN '' ELSE ',{"key":"x-cache","value":"HIT"}' END || ']' AS headers FROM j
+    """,
     "op1_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
