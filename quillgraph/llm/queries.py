@@ -80,7 +80,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve_revisits(page_captures(_table(spark, sf_dir, "pages")))
-    return out.select("record_id", "url_key", "status", "refers_to", "payload_digest", F.to_json(F.array_sort(F.map_entries("headers"))).alias("headers"))
+    return out.select("record_id", "url_key", "status", F.col("refers_to").cast("string").alias("refers_to"), "payload_digest", F.to_json(F.array_sort(F.map_entries("headers"))).alias("headers"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ ORACLES = {
             SELECT c.*, o.o, CASE WHEN visit = 0 THEN 'full' WHEN o.o IS NULL OR url_key IS NULL THEN 'orphan' WHEN NOT changed AND o.o.tag = c.tag THEN 'resolved' ELSE 'mismatch' END AS status,
                 '"' || replace(CASE WHEN visit = 0 THEN '"' || tag || '"' WHEN changed THEN '"changed"' ELSE 'W/"' || tag || '"' END, '"', '\"') || '"' AS etag, '"' || strftime(make_timestamp(told_at * 1000000), '%Y-%m-%d %H:%M:%S') || '"' AS told FROM c LEFT JOIN o USING (record_id)
         )
-        SELECT record_id, url_key, status, CASE WHEN status = 'resolved' THEN o.id END AS refers_to, CASE WHEN status = 'full' THEN digest WHEN status = 'resolved' THEN o.digest END AS payload_digest,
+        SELECT record_id, url_key, status, CASE WHEN status = 'resolved' THEN CAST(o.id AS VARCHAR) END AS refers_to, CASE WHEN status = 'full' THEN digest WHEN status = 'resolved' THEN o.digest END AS payload_digest,
             '[' || CASE WHEN status IN ('full', 'resolved') THEN '{"key":"content-type","value":"text/html"},' ELSE '' END || '{"key":"date","value":' || told || '},{"key":"etag","value":' || etag || '}' || CASE WHEN status IN ('full', 'resolved') THEN '' ELSE ',{"key":"x-cache","value":"HIT"}' END || ']' AS headers FROM j
     """,
     "op1_near_dedup": r"""

@@ -120,7 +120,7 @@ def test_op7_op8_op9(spark, tables, rows):
     got = {r.page_id: r for r in of(spark, "op7_url_filter", tables)[0]}
     assert len(got) == 7 and got[0].verdict == "allow" and got[2].rule == "net/es/" and got[5].verdict == "block" and (got[3].host, got[3].path, got[3].rule) == ("", "", None)
     got = {r.record_id: r for r in of(spark, "op8_warc_revisits", tables)[0]}
-    assert len(got) == 21 and got[3].url_key == "http://[2001:db8::1]:8080/p?ref=1" and got[4].refers_to == 3 and got[2].status == "mismatch" and got[10].status == "orphan"
+    assert len(got) == 21 and got[3].url_key == "http://[2001:db8::1]:8080/p?ref=1" and got[4].refers_to == "3" and got[2].status == "mismatch" and got[10].status == "orphan"
     assert {h["key"]: h["value"] for h in json.loads(got[4].headers)}["content-type"] == "text/html"
     got, columns = of(spark, "op9_toxicity", tables)
     assert columns == ["doc_id", "held_out", "score", "predicted"] and len(got) == len(rows)
