@@ -29,6 +29,13 @@ def workspace(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name in the shared one, deleted by ``release`` or at the end of the process."""
+    path = f"{workspace(spark)}/{name}"
+    _left[path] = spark
+    return path
+
+
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
