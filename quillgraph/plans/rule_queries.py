@@ -213,10 +213,11 @@ def registry_manifest(spark: SparkSession, d: str) -> DataFrame:
     return S.manifest_entries(wanted, converted).select("ord", "output", F.col("markdown_char_count").cast("bigint").alias("markdown_char_count"), "status", "error")
 
 
-@query(r"""WITH p AS (SELECT DISTINCT unnest([regexp_replace(url, '^[a-z]+://', '') || '.pdf', replace(regexp_replace(url, '^[a-z]+://', ''), '/', '__') || '.PDF']) AS path FROM pages),
+@query(r"""WITH p AS (SELECT DISTINCT unnest([regexp_replace(url, '^[a-z]+://', '') || '.pdf', replace(regexp_replace(url, '^[a-z]+://', ''), '/', '__') || '.PDF']) AS path FROM pages WHERE url IS NOT NULL),
     s AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '(?i)\.pdf$', ''), '[/\\]+', '__', 'g'), '[^A-Za-z0-9._\-]+', '_', 'g') AS stem FROM p)
     SELECT path, stem || CASE WHEN row_number() OVER (PARTITION BY stem ORDER BY path) > 1 THEN '--' || substr(sha1(path), 1, 8) ELSE '' END || '.md' AS output FROM s""")
 def output_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A page without an url is no file."""
     bare = F.regexp_replace("url", "^[a-z]+://", "")
     both = F.array(F.concat(bare, F.lit(".pdf")), F.concat(F.replace(bare, F.lit("/"), F.lit("__")), F.lit(".PDF")))
     return S.output_paths(table(spark, d, "pages").select(F.explode(both).alias("path")).where("path is not null"))
