@@ -13,8 +13,11 @@ from quillgraph.llm.near_dedup import near_duplicates
 from quillgraph.llm.packing import pack, token_pieces
 from quillgraph.llm.secrets import scan_secrets
 from quillgraph.llm.sharding import SHARDS, shard_by_bytes
+from quillgraph.llm.spelling import group_spellings
+from quillgraph.llm.token_counts import count_tokens
 from quillgraph.llm.toxicity import fit, held_out, toxicity_scores
 from quillgraph.llm.url_filter import judge_urls
+from quillgraph.llm.vector_codes import coded
 from quillgraph.llm.warc import resolve_revisits
 
 #: The contract's rules.
@@ -29,11 +32,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, similarity=0.85)
 
 
-def vocabulary_file() -> str:
-    """The public vocabulary that the contracts name; operators take any path."""
+def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
+    """The public vocabulary that a contract names; operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +102,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_media": op2_media,
@@ -110,6 +125,9 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_spelling": op11_spelling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {
