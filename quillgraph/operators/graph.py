@@ -3,6 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from quillgraph.config import CLINICAL, Ontology
 from quillgraph.functions import text as T
 from quillgraph.sources.staging import stage
 
-#: Repair targets that one pass may have; they are broadcast.
+#: Repair targets, or curated facts, that one pass may have; they go to every task.
 MOST_TARGETS = 10_000
 PAYLOAD = "struct<entities:array<struct<id:string,name:string,type:string,description:string>>,relations:array<struct<source:string,target:string,relation:string,description:string,strength:string>>>"
 
@@ -171,34 +175,119 @@ def merge_chunk_maps(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("chunk_id", F.coalesce("b", "a").alias("value"), F.coalesce(F.col("a") != F.col("b"), F.lit(False)).alias("collides"))
 
 
-def repair_scores(chunks: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scores of chunks (chunk_seq, section, context, text) for targets (target, aliases, hints), at most ``MOST_TARGETS``: a broadcast join without keys."""
-    n = targets.limit(MOST_TARGETS + 1).count()
-    if n > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} repair targets at once")
-    text, context, section = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "context", "section"))
-    crossed = chunks.join(F.broadcast(targets))
-    norm = lambda c: F.concat(F.lit(" "), T.normalize_name(c), F.lit(" "))
-    held = lambda hay: F.exists("aliases", lambda a: F.contains(hay, F.concat(F.lit(" "), a, F.lit(" "))))
-    hits = lambda hay: F.size(F.filter(F.array_distinct("hints"), lambda h: F.contains(F.lower(hay), h)))
-    compact = F.exists("aliases", lambda a: F.contains(T.compact_name(text), F.replace(a, F.lit(" "), F.lit(""))))
-    score = F.when(held(norm(context)), 20).otherwise(0) + F.when(held(norm(text)), 18).otherwise(0) + F.when(compact, 12).otherwise(0) + 12 * hits(section) + 5 * hits(text)
-    return crossed.select("target", "chunk_seq", score.alias("score"), (held(norm(text)) | held(norm(context))).alias("anchor"))
+def _automaton(patterns: dict[str, list[int]]) -> ahocorasick.Automaton | None:
+    """An automaton that gives (number, length, targets) of each pattern."""
+    if not patterns:
+        return None
+    automaton = ahocorasick.Automaton()
+    for i, (pattern, who) in enumerate(sorted(patterns.items())):
+        automaton.add_word(pattern, (i, len(pattern), who))
+    automaton.make_automaton()
+    return automaton
+
+
+def _scored_chunks(forms: DataFrame, targets: list, kind: str) -> DataFrame:
+    """Scores of a few targets in chunks (chunk_seq and normalised context, section, lead, whole and compact text), hits alone."""
+    names = [t.target for t in targets]
+
+    def told(column: str, squeeze: bool = False) -> dict[str, list[int]]:
+        out: dict[str, set[int]] = {}
+        for i, t in enumerate(targets):
+            for p in t[column] or ():
+                if p := (p or "").replace(" ", "" if squeeze else " "):
+                    out.setdefault(p, set()).add(i)
+        return {p: sorted(who) for p, who in out.items()}
+
+    aliases, compacts, hints = told("aliases"), told("aliases", True), told("hints")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_alias, by_compact, by_hint = map(_automaton, (aliases, compacts, hints))
+
+        def met(automaton, text: str) -> dict[int, tuple[int, list[int], int]]:
+            """{pattern: (its length, its targets, where it first ends)}."""
+            found: dict = {}
+            if automaton is not None:
+                for end, (p, length, who) in automaton.iter(text):
+                    if p not in found:
+                        found[p] = (length, who, end + 1)
+            return found
+
+        def of(found: dict, near=None) -> set[int]:
+            return {i for length, who, end in found.values() if near is None or near(length, end) for i in who}
+
+        for batch in batches:
+            out: list[tuple] = []
+            for seq, context, section, lead, whole, compact in zip(*(c.to_pylist() for c in batch.columns)):
+                in_context, heads, everywhere = met(by_alias, context), met(by_hint, section), met(by_hint, whole)
+                anchors = of(in_context, lambda n, end: end <= max(n + 20, 80)) | of(met(by_alias, section), lambda n, end: end == n) | of(met(by_alias, lead))
+                score: dict[int, int] = {}
+                for points, who in ((20, of(in_context)), (18, of(met(by_alias, whole))), (12, of(met(by_compact, compact)))):
+                    for i in who:
+                        score[i] = score.get(i, 0) + points
+                for p, (_, who, _) in (heads | everywhere).items():
+                    for i in who:
+                        score[i] = score.get(i, 0) + (12 if p in heads else 5)
+                out += [(names[i], seq, n, i in anchors) for i, n in score.items()]
+            columns = list(zip(*out)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.bool_())], ["target", "chunk_seq", "score", "anchor"])
+
+    return forms.mapInArrow(run, f"target string, chunk_seq {kind}, score int, anchor boolean")
+
+
+def repair_scores(chunks: DataFrame, targets: DataFrame, at_once: int = MOST_TARGETS) -> DataFrame:
+    """(target, chunk_seq, score, anchor) of the chunks (chunk_seq, section, context, text) that hold something of a target (target, aliases, hints).
+
+    An alias counts 20 in the context, 18 anywhere, 12 anywhere with all marks left out; each hint counts 12 in the
+    section, else 5 anywhere. A chunk is an anchor if an alias begins its context or section, or stands early in its
+    context or text. One automaton over all aliases and hints reads each form of a text once, whatever the number of
+    targets, and only hits leave: a chunk without any has no row. ``at_once`` targets go into an automaton; more of
+    them take a pass each.
+    """
+    part = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    whole, norm = F.concat_ws(" ", part("section"), part("context"), part("text")), lambda c: T.normalize_name(F.coalesce(c, F.lit("")))
+    forms = chunks.select("chunk_seq", norm(F.col("context")).alias("context"), norm(F.col("section")).alias("section"), norm(F.substring("text", 1, 220)).alias("lead"), norm(whole).alias("whole"), T.compact_name(whole).alias("compact"))
+    kind, out = chunks.schema["chunk_seq"].dataType.simpleString(), None
+    own = targets.select("target", "aliases", F.transform("hints", lambda h: T.normalize_name(h)).alias("hints"))
+    n = own.count()
+    if n <= at_once:
+        return _scored_chunks(forms, own.collect(), kind)
+    passes = -(-2 * n // at_once)
+    dealt = stage(own.withColumn("pass", F.pmod(F.xxhash64("target"), F.lit(passes))), "repair_targets")
+    for r in range(passes):
+        scored = _scored_chunks(forms, dealt.where(F.col("pass") == r).drop("pass").collect(), kind)
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
-def select_repair_chunks(scores: DataFrame, top: int = 6, gap: int = 4, least: int = 18) -> DataFrame:
-    """The best chunks of each target: anchors within ``gap`` form clusters, the largest (earliest) one lends nearby chunks a bonus."""
+def select_repair_chunks(scores: DataFrame, top: int = 6, gap: int = 4, least: int = 18, preferred: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """(target, chunk_seq, score, rank): the best chunks of each target by ``scores`` (target, chunk_seq, score, anchor).
+
+    Anchors within ``gap`` form clusters; the largest (earliest) one lends chunks up to 6 away a bonus. Chunks of ``chunks``
+    (chunk_seq) within it or beside it that hold nothing of the target count by the bonus alone: the cluster's numbers are laid
+    out, at most ``gap`` times its anchors, and met by equality. A target with ``preferred`` chunks (target, chunk_seq) gets
+    the first of those, without a score.
+    """
     order = Window.partitionBy("target").orderBy("chunk_seq")
     islands = scores.where("anchor").withColumn("new", F.coalesce((F.col("chunk_seq") - F.lag("chunk_seq").over(order) > gap).cast("int"), F.lit(0))).withColumn("island", F.sum("new").over(order))
     sizes = islands.groupBy("target", "island").agg(F.count("*").alias("n"), F.min("chunk_seq").alias("first"), F.max("chunk_seq").alias("last"))
-    best = sizes.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "first"))).where("r = 1").select("target", "first", "last")
-    near = scores.join(F.broadcast(best), "target", "left")
+    best = sizes.groupBy("target").agg(F.min_by(F.struct("first", "last"), F.struct((-F.col("n")).alias("n"), "first")).alias("b")).select("target", "b.first", "b.last")
+    rows = scores.select("target", "chunk_seq", "score")
+    if chunks is not None:
+        there = chunks.select("chunk_seq").distinct()
+        beside = best.select("target", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("chunk_seq")).join(there, "chunk_seq", "left_semi")
+        rows = rows.unionByName(beside.join(rows, ["target", "chunk_seq"], "left_anti").select("target", "chunk_seq", F.lit(0).alias("score")))
+    near = rows.join(best, "target", "left")
     far = F.when(F.col("chunk_seq") < F.col("first"), F.col("first") - F.col("chunk_seq")).when(F.col("chunk_seq") > F.col("last"), F.col("chunk_seq") - F.col("last")).otherwise(0)
-    bonus = F.when(F.col("first").isNull(), 0).when(far == 0, 18).when(far <= 2, 10).when(far <= gap, 4).otherwise(0)
-    dropped = F.col("first").isNotNull() & (far > gap) & (F.col("score") < least + 10)
+    bonus = F.when(F.col("first").isNull(), 0).when(far <= 1, 18).when(far <= 3, 10).when(far <= 6, 4).otherwise(0)
+    dropped = F.col("first").isNotNull() & (far > 6) & (F.col("score") < least + 10)
     ranked = near.where(~dropped).withColumn("score", F.col("score") + bonus).where(F.col("score") >= least)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "chunk_seq"))).where(F.col("rank") <= top)
-    return ranked.select("target", "chunk_seq", "score", "rank")
+    pick = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(*by))).where(F.col("rank") <= top).select("target", "chunk_seq", "score", "rank")
+    if preferred is None:
+        return pick(ranked, F.desc("score"), "chunk_seq")
+    own = preferred.select("target", "chunk_seq").distinct()
+    own = own.join(chunks.select("chunk_seq").distinct(), "chunk_seq", "left_semi") if chunks is not None else own
+    first = pick(own.withColumn("score", F.lit(None).cast("int")), "chunk_seq")
+    return pick(ranked.join(own, "target", "left_anti"), F.desc("score"), "chunk_seq").unionByName(first)
 
 
 def structural_checks(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -216,13 +305,16 @@ def structural_checks(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def condition_aliases(entities: DataFrame) -> DataFrame:
-    """(target, aliases): the normalised names by which each condition may stand in a text, abbreviations among them."""
+    """(target, aliases): the normalised names by which each condition may stand in a text: its own and those of all conditions
+    with the same compact name, and the abbreviations of either. Compact forms are these without spaces."""
     from quillgraph.config import ABBREVIATIONS
 
-    short = entities.sparkSession.createDataFrame(list(ABBREVIATIONS.items()), "alias string, target string")
-    own = entities.where("label = 'CONDITION'").select(F.col("name").alias("target"))
-    both = own.select("target", T.normalize_name(F.col("target")).alias("alias")).unionByName(own.join(F.broadcast(short), "target").select("target", "alias"))
-    return both.groupBy("target").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    own = entities.where("label = 'CONDITION'").select(F.col("name").alias("target"), T.compact_name(F.col("name")).alias("compact"))
+    short = entities.sparkSession.createDataFrame(list(ABBREVIATIONS.items()), "alias string, told string").withColumn("compact", T.compact_name(F.col("told")))
+    names = own.select("compact", T.normalize_name(F.col("target")).alias("alias"))
+    names = names.unionByName(short.select("compact", F.explode(F.array(T.normalize_name(F.col("alias")), T.normalize_name(F.col("told")))).alias("alias")))
+    by_compact = names.where("alias <> ''").groupBy("compact").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    return own.join(by_compact, "compact").select("target", "aliases")
 
 
 def repair_graph(state: tuple[DataFrame, DataFrame], chunks: DataFrame, targets: list[dict], extract, ontology: Ontology = CLINICAL) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +327,7 @@ def repair_graph(state: tuple[DataFrame, DataFrame], chunks: DataFrame, targets:
     for target in targets:
         aliases = [r.aliases for r in condition_aliases(state[0]).where(F.col("target") == target["condition"]).collect()] or [[target["condition"]]]
         table = spark.createDataFrame([(target["condition"], aliases[0], target["hints"])], "target string, aliases array<string>, hints array<string>")
-        best = select_repair_chunks(stage(repair_scores(chunks, table)))
+        best = select_repair_chunks(stage(repair_scores(chunks, table)), chunks=chunks)
         raw_entities, raw_relations = explode_payloads(extract(chunks.join(best.select("chunk_seq"), "chunk_seq", "left_semi")))
         named = stage(named_entities(raw_entities))
         order = numbered_order

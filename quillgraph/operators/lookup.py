@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import config as C
 from quillgraph.functions import text as T
+from quillgraph.sources.staging import stage
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list[Column], most: int | None = None) -> DataFrame:
@@ -61,23 +62,61 @@ def compare_any_relation(asks: DataFrame, relations: DataFrame) -> DataFrame:
     return shared.unionByName(unique)
 
 
-def keyword_search(questions: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
-    """(qid, name, label, score, rank): by how many of the question's terms are substrings of name and description.
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct runs of so many letters of a text."""
+
+    def of(letters: Column) -> Column:
+        def runs(n: int) -> Column:
+            each = F.transform(F.sequence(F.lit(1), F.size(letters) - (n - 1)), lambda i: F.array_join(F.slice(letters, i, n), ""))
+            return F.when(F.size(letters) >= n, each).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*(runs(n) for n in sizes)))
+
+    return T.let(F.split(text, ""), of)
+
 
-    Substrings cannot be hashed, so entities meet the distinct terms of the questions, and only hits leave. The engine
-    broadcasts the smaller side if its size allows and goes through both in blocks if not.
+def substring_hits(terms: DataFrame, hays: DataFrame, ids: list[str], shortest: int = 1) -> DataFrame:
+    """(term, ``ids``): the hays (ids, hay) that hold a term, for distinct ``terms`` (term) of at least ``shortest`` letters.
+
+    An index of letter runs: a term of three letters or more meets hays by its rarest trigram and is looked for in those
+    alone; a shorter term is a run itself, so there the index is the answer. Only runs that terms ask for are kept of
+    the index; how often each stands is counted before anything is joined by it.
     """
-    terms = questions.select("qid", F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: (F.length(t) > 2) & ~t.isin(C.QUERY_STOPWORDS))).alias("terms"))
-    hay = entities.select("name", "label", F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))).alias("hay"))
-    by_term = terms.select("qid", F.explode("terms").alias("term"))
-    hits = hay.join(by_term, F.col("hay").contains(F.col("term"))).groupBy("qid", "name", "label").agg(F.count("*").alias("score"))
-    return _ranked(hits, ["qid"], [F.desc("score"), F.col("name")], top).select("qid", "name", "label", "score", "rank")
+    sizes = tuple(n for n in (1, 2, 3) if n >= min(shortest, 3))
+    terms = stage(terms.select("term").where(F.length("term") >= shortest).distinct(), "terms")
+    own = F.when(F.length("term") < 3, F.array("term")).otherwise(_grams(F.col("term"), (3,)))
+    asked = stage(terms.select("term", F.explode(own).alias("run")), "term_runs")
+    index = stage(hays.select(*ids, F.explode(_grams(F.col("hay"), sizes)).alias("run")).join(asked.select("run").distinct(), "run", "left_semi"), "run_index")
+    often = index.groupBy("run").agg(F.count("*").alias("often"))
+    # a run that no hay holds leaves its term without a hit
+    rarest = asked.join(often, "run", "left").groupBy("term").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)).alias("n"), "run")).alias("run"))
+    met = index.join(rarest, "run").select("term", *ids)
+    short = met.where(F.length("term") < 3)
+    if shortest < 3:
+        return short.unionByName(met.where(F.length("term") >= 3).join(hays, ids).where(F.col("hay").contains(F.col("term"))).select("term", *ids))
+    return met.join(hays, ids).where(F.col("hay").contains(F.col("term"))).select("term", *ids)
+
+
+def _scored(asked: DataFrame, hits: DataFrame, ids: list[str]) -> DataFrame:
+    """(qid, ``ids``, score): how many of a question's terms (qid, term) hit; each term was looked for once, whoever asks it."""
+    return asked.join(hits, "term").groupBy("qid", *ids).agg(F.count("*").alias("score"))
+
+
+def keyword_search(questions: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
+    """(qid, name, label, score, rank): by how many of the question's terms are substrings of name and description."""
+    terms = F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: (F.length(t) > 2) & ~t.isin(C.QUERY_STOPWORDS)))
+    asked = stage(questions.select("qid", F.explode(terms).alias("term")), "asked_terms")
+    hays = stage(entities.select("name", F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))).alias("hay")), "hays")
+    hits = _ranked(_scored(asked, substring_hits(asked, hays, ["name"], 3), ["name"]), ["qid"], [F.desc("score"), F.col("name")], top)
+    return hits.join(entities.select("name", "label"), "name").select("qid", "name", "label", "score", "rank")
 
 
 def summary_search(questions: DataFrame, summaries: DataFrame, top: int = 3) -> DataFrame:
     """(qid, community_id, score, rank): community summaries by substring terms, of any length, without stop words."""
-    terms = questions.select("qid", F.explode(F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: ~t.isin(C.QUERY_STOPWORDS)))).alias("term"))
-    hits = summaries.select("community_id", F.lower("summary").alias("hay")).join(terms, F.col("hay").contains(F.col("term"))).groupBy("qid", "community_id").agg(F.count("*").alias("score"))
+    terms = F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: ~t.isin(C.QUERY_STOPWORDS)))
+    asked = stage(questions.select("qid", F.explode(terms).alias("term")), "asked_terms")
+    hays = stage(summaries.select("community_id", F.lower("summary").alias("hay")), "hays")
+    hits = _scored(asked, substring_hits(asked, hays, ["community_id"]), ["community_id"])
     return _ranked(hits, ["qid"], [F.desc("score"), F.col("community_id")], top)
 
 
@@ -132,7 +171,8 @@ def result_filter(results: DataFrame) -> DataFrame:
 
 def store_text_search(questions: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
     """(qid, name, label, score, rank): the store's way without a full-text index, by terms of its own list that name or description hold."""
-    terms = questions.select("qid", F.explode(T.keyword_tokens(F.col("question"))).alias("term"))
-    hay = entities.select("name", "label", F.lower("name").alias("low"), F.lower(F.coalesce("description", F.lit(""))).alias("told"))
-    hits = hay.join(terms, F.col("low").contains(F.col("term")) | F.col("told").contains(F.col("term"))).groupBy("qid", "name", "label").agg(F.count("*").alias("score"))
-    return _ranked(hits, ["qid"], [F.desc("score"), F.col("name")], top)
+    asked = stage(questions.select("qid", F.explode(T.keyword_tokens(F.col("question"))).alias("term")), "asked_terms")
+    # a term has only letters and digits, so none reaches from the name over the line's end into the description
+    hays = stage(entities.select("name", F.lower(F.concat_ws("\n", "name", F.coalesce("description", F.lit("")))).alias("hay")), "hays")
+    hits = _ranked(_scored(asked, substring_hits(asked, hays, ["name"], 3), ["name"]), ["qid"], [F.desc("score"), F.col("name")], top)
+    return hits.join(entities.select("name", "label"), "name").select("qid", "name", "label", "score", "rank")

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 
+#: Bytes of queries that may go to every task, vectors of a block, queries that are multiplied with it at once.
+QUERY_BYTES, BLOCK, QUERIES_AT_ONCE = 32_000_000, 32_768, 64
 
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(chunk_id, term, tf). One shuffle, combined on the map side."""
@@ -30,14 +35,99 @@ def lexical_search(questions: DataFrame, chunks: DataFrame, top: int = 8) -> Dat
     return scored.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= top)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def dense_search(queries: DataFrame, vectors: DataFrame, top: int = 8) -> DataFrame:
-    """(qid, vec_id, score, rank) by cosine of every query (qid, query) with every vector; the engine broadcasts the smaller side if its size allows."""
-    scored = vectors.join(queries).select("qid", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
+def _unit_rows(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of that many finite components and some length, those rows scaled to length 1), in double precision."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten()
+    ends, whole = np.cumsum(sizes), sizes == width
+    rows = (whole & vectors.is_valid().to_numpy(zero_copy_only=False)).nonzero()[0]
+    x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)[(ends[rows] - width)[:, None] + np.arange(width)] if len(rows) else np.zeros((0, width))
+    most = np.abs(x).max(1, initial=0)
+    good = np.isfinite(most) & (most > 0)
+    x = x[good] / most[good, None]
+    return rows[good], x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _best_of_block(queries: np.ndarray, vectors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place of the vector, score) of each query's best vectors; of equal scores, rounded to six places, the first place holds."""
+    out, n = [], len(vectors)
+    for begin in range(0, len(queries), QUERIES_AT_ONCE):
+        scores = np.round(queries[begin : begin + QUERIES_AT_ONCE] @ vectors.T, 6)
+        # one whole number for score and place, so that ties have an order too
+        keys = np.rint(scores * 1e6).astype(np.int64) * n - np.arange(n)
+        k = min(top, n)
+        best = np.argpartition(-keys, k - 1, axis=1)[:, :k]
+        q = np.repeat(np.arange(len(scores)), k)
+        out.append((q + begin, best.ravel(), scores[q, best.ravel()]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 3
+
+
+def _best_of(asked: dict, batch: pa.Table, top: int) -> Iterator[pa.RecordBatch]:
+    """Best vectors of a block (vec_id, embedding) for every query, by width of the queries; ids are in order for ties."""
+    batch = batch.take(pc.sort_indices(batch, [("vec_id", "ascending")])).combine_chunks()
+    column = batch.column("embedding")
+    column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    for width, (ids, queries) in asked.items():
+        rows, unit = _unit_rows(column, width)
+        if len(rows) and len(queries):
+            q, at, score = _best_of_block(queries, unit, top)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("vec_id").combine_chunks().take(pa.array(rows[at])), pa.array(score)], ["qid", "vec_id", "score"])
+
+
+def _queries_by_width(table: pa.Table) -> dict:
+    """{width: (ids, unit rows)} of queries (qid, query); those that are null, zero or not finite are in none."""
+    table = table.combine_chunks()
+    if not table.num_rows:
+        return {}
+    column, ids = table.column("query").chunk(0), table.column("qid").chunk(0)
+    out = {}
+    for width in np.unique(np.diff(column.offsets.to_numpy())).tolist():
+        rows, unit = _unit_rows(column, width) if width else (np.zeros(0, int), None)
+        if len(rows):
+            out[width] = (ids.take(pa.array(rows)), unit)
+    return out
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, top: int = 8, most_bytes: int = QUERY_BYTES, block: int = BLOCK) -> DataFrame:
+    """(qid, vec_id, score, rank) by cosine of every query (qid, query) with every vector (vec_id, embedding).
+
+    Blocks of vectors are multiplied with blocks of queries, and only the best ``top`` of a block leave its task, a row
+    for each query and place; the best of all blocks are merged by query. Queries whose measured size is at most
+    ``most_bytes`` go to every task, and vectors aren't shuffled; more of them are dealt into cells of a block of queries
+    and one of vectors. Vectors and queries that are null, empty, zero or not finite meet nothing, nor do different widths.
+    """
+    told = queries.select("qid", F.col("query").cast("array<double>").alias("query"))
+    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+    size = told.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("query").cast("bigint")), F.lit(0)).alias("values")).first()
+    total = 16 * size.n + 8 * max(size["values"], 0)
+    if total <= most_bytes:
+        asked = _queries_by_width(told.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= block:
+                    yield from _best_of(asked, pa.Table.from_batches(held), top)
+                    held, n = [], 0
+            if n:
+                yield from _best_of(asked, pa.Table.from_batches(held), top)
+
+        scored = own.mapInArrow(run, schema)
+    else:
+        rows = -(-total // most_bytes)
+        columns = max(1, -(-own.count() // block))
+        side = lambda df, id_, n, m, first: df.withColumn("i" if first else "j", F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")).withColumn("j" if first else "i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        left, right = side(told, "qid", rows, columns, True), side(own, "vec_id", columns, rows, False)
+
+        def cell(asked: pa.Table, there: pa.Table) -> pa.Table:
+            out = list(_best_of(_queries_by_width(asked.select(["qid", "query"])), there.select(["vec_id", "embedding"]), top)) if asked.num_rows and there.num_rows else []
+            empty = pa.schema([("qid", asked.schema.field("qid").type), ("vec_id", there.schema.field("vec_id").type), ("score", pa.float64())])
+            return pa.Table.from_batches(out, schema=None if out else empty)
+
+        scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, schema)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
 
 

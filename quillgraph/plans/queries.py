@@ -339,11 +339,11 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """The fixed questions and what users said in conversations, English and plain ASCII alike."""
-    said = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    said = table(spark, d, "conversations").where("role = 'user'").select(((F.col("conv_id") + 1) * 100000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
     return questions_df(spark).select(F.col("qid").cast("bigint").alias("qid"), "question").unionByName(said)
 
 
-_ASKED = f"{_QS}, asked AS (SELECT CAST(qid AS BIGINT) AS qid, question FROM questions UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations WHERE role = 'user')"
+_ASKED = f"{_QS}, asked AS (SELECT CAST(qid AS BIGINT) AS qid, question FROM questions UNION ALL SELECT (conv_id + 1) * 100000 + turn, text FROM conversations WHERE role = 'user')"
 
 
 def _re(patterns) -> str:
@@ -503,25 +503,32 @@ def exact_link(spark: SparkSession, d: str) -> DataFrame:
     return L.link_exact(e.select(F.col("ord").alias("qid"), F.concat(F.lit("and what of "), F.lower("name"), F.lit(", please?")).alias("question")), e)
 
 
-_REPAIR = [("THE", ["THE", "OF THE"], ["the", "src1"]), ("UND", ["UND", "DER"], ["der", "src2"])]
-_SCORE = " UNION ALL ".join(
-    f"""SELECT '{t}' AS target, chunk_seq, (CASE WHEN {" OR ".join(f"contains(c, ' {a} ')" for a in al)} THEN 20 ELSE 0 END + CASE WHEN {" OR ".join(f"contains(x, ' {a} ')" for a in al)} THEN 18 ELSE 0 END
-    + CASE WHEN {" OR ".join(f"contains(replace(x, ' ', ''), '{a.replace(' ', '')}')" for a in al)} THEN 12 ELSE 0 END + {" + ".join(f"12 * CAST(contains(lower(section), '{h}') AS INTEGER) + 5 * CAST(contains(lower(text), '{h}') AS INTEGER)" for h in hs)}) AS score,
-    ({" OR ".join(f"contains(x, ' {a} ') OR contains(c, ' {a} ')" for a in al)}) AS anchor FROM t"""
-    for t, al, hs in _REPAIR
-)
+_N = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', ' ', 'g'))"
 
 
-@query(f"""WITH t AS (SELECT doc_id AS chunk_seq, source AS section, text, ' ' || trim(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g')) || ' ' AS x, ' ' || trim(regexp_replace(upper(lang), '[^A-Z0-9]+', ' ', 'g')) || ' ' AS c FROM documents),
-    s AS ({_SCORE}), g AS (SELECT *, CASE WHEN chunk_seq - lag(chunk_seq) OVER w > 4 THEN 1 ELSE 0 END AS fresh FROM s WHERE anchor WINDOW w AS (PARTITION BY target ORDER BY chunk_seq)),
-    i AS (SELECT target, chunk_seq, sum(fresh) OVER (PARTITION BY target ORDER BY chunk_seq) AS island FROM g), z AS (SELECT target, island, count(*) AS n, min(chunk_seq) AS a, max(chunk_seq) AS b FROM i GROUP BY 1, 2),
+@query(f"""WITH t AS (SELECT *, replace(whole, ' ', '') AS compact FROM (SELECT doc_id AS chunk_seq, {_N.format("source")} AS section, {_N.format("lang")} AS context, {_N.format("substr(text, 1, 220)")} AS lead,
+        {_N.format("concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(text, ''))")} AS whole FROM documents)),
+    w AS (SELECT item_id, string_split({_N.format("text")}, ' ') AS w FROM benchmark),
+    g AS (SELECT target, alias, replace(alias, ' ', '') AS squeezed, hint FROM (SELECT 'B' || item_id || ' ' || k AS target, w[k] || ' ' || w[k + 1] AS alias, w[k + 2] || ' ' || w[k + 3] AS hint FROM w, unnest(range(1, len(w) - 2)) r(k))),
+    s AS (SELECT target, chunk_seq, CASE WHEN contains(context, alias) THEN 20 ELSE 0 END + CASE WHEN contains(whole, alias) THEN 18 ELSE 0 END + CASE WHEN contains(compact, squeezed) THEN 12 ELSE 0 END
+        + CASE WHEN contains(section, hint) THEN 12 WHEN contains(whole, hint) THEN 5 ELSE 0 END AS score, contains(context, alias) OR starts_with(section, alias) OR contains(lead, alias) AS anchor FROM t, g),
+    f AS (SELECT *, CASE WHEN chunk_seq - lag(chunk_seq) OVER w > 4 THEN 1 ELSE 0 END AS fresh FROM s WHERE anchor WINDOW w AS (PARTITION BY target ORDER BY chunk_seq)),
+    i AS (SELECT target, chunk_seq, sum(fresh) OVER (PARTITION BY target ORDER BY chunk_seq) AS island FROM f), z AS (SELECT target, island, count(*) AS n, min(chunk_seq) AS a, max(chunk_seq) AS b FROM i GROUP BY 1, 2),
     best AS (SELECT target, a, b FROM z QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, a) = 1),
-    f AS (SELECT s.*, best.a, CASE WHEN chunk_seq < best.a THEN best.a - chunk_seq WHEN chunk_seq > best.b THEN chunk_seq - best.b ELSE 0 END AS far FROM s LEFT JOIN best USING (target)),
-    p AS (SELECT target, chunk_seq, CAST(score + CASE WHEN a IS NULL THEN 0 WHEN far = 0 THEN 18 WHEN far <= 2 THEN 10 WHEN far <= 4 THEN 4 ELSE 0 END AS INTEGER) AS score FROM f WHERE NOT (a IS NOT NULL AND far > 4 AND score < 28))
+    far AS (SELECT s.*, best.a, CASE WHEN chunk_seq < best.a THEN best.a - chunk_seq WHEN chunk_seq > best.b THEN chunk_seq - best.b ELSE 0 END AS far FROM s LEFT JOIN best USING (target)),
+    p AS (SELECT target, chunk_seq, CAST(score + CASE WHEN a IS NULL THEN 0 WHEN far <= 1 THEN 18 WHEN far <= 3 THEN 10 WHEN far <= 6 THEN 4 ELSE 0 END AS INTEGER) AS score FROM far WHERE NOT (a IS NOT NULL AND far > 6 AND score < 28))
     SELECT target, chunk_seq, score, CAST(row_number() OVER (PARTITION BY target ORDER BY score DESC, chunk_seq) AS INTEGER) AS rank FROM p WHERE score >= 18 QUALIFY rank <= 6""")
 def repair_select(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_seq"), F.col("source").alias("section"), F.col("lang").alias("context"), "text")
-    return G.select_repair_chunks(G.repair_scores(chunks, spark.createDataFrame(_REPAIR, "target string, aliases array<string>, hints array<string>")))
+    return G.select_repair_chunks(stage(G.repair_scores(chunks, _repair_targets(spark, d)), "repair_scores"), chunks=chunks)
+
+
+def _repair_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Each two words of a benchmark's text as a target, with the two that follow as its hint."""
+    words = table(spark, d, "benchmark").select("item_id", F.split(T.normalize_name(F.col("text")), " ").alias("w"))
+    each = words.where("size(w) > 3").select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 3)).alias("k"))
+    two = lambda at: F.array(F.concat(F.element_at("w", F.col("k") + at), F.lit(" "), F.element_at("w", F.col("k") + at + 1)))
+    return each.select(F.concat(F.lit("B"), F.col("item_id").cast("string"), F.lit(" "), F.col("k").cast("string")).alias("target"), two(0).alias("aliases"), two(2).alias("hints"))
 
 
 def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
