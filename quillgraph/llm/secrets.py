@@ -1,6 +1,8 @@
 """Secret scan with a random forest that removes false positives, in DataFrame expressions alone.
 
-Candidates are values assigned to a telling name and long runs of key-like characters with a digit. Each is
+Candidates are values assigned to a telling name, passwords in URLs and long runs of key-like characters with a digit. A
+quoted value goes up to its closing quote on the line, whatever it holds (escaped quotes included); one without quotes, or
+whose quote isn't closed on the line, goes up to white space, without the marks at its end. Each is
 described by its length, character classes and transitions, dictionary coverage, path marks and neighbouring
 words; a forest trained on labelled findings scores it, compiled to nested conditions. Everything happens within
 the row of a document: no shuffle, no join, no row for each candidate, so neither a hot source nor a long text
@@ -10,7 +12,9 @@ Training fits a few small trees on a bounded table of labelled findings (value,
 one is made by rule from hashes of row numbers, at most ``FINDINGS`` rows. Features of findings and of candidates come from
 the same expressions.
 
-A value has no largest length. One of more than ``PIECE`` characters is described in pieces of that length, since
+A value has no largest length. Its head, up to the first quote, comma, semicolon or angle bracket, is judged beside the
+whole, and the higher score holds for the whole, so that what stands after a mark never stays in the text alone. A quoted
+value with more than ``ESCAPES`` escapes is taken like one without quotes. A value of more than ``PIECE`` characters is described in pieces of that length, since
 shares of characters mean little in longer ones; its score is its highest piece's, and it is reported and redacted whole.
 
 Texts are matched in a few passes, whatever the number of candidates, and secrets are redacted in one pass by a pattern
@@ -31,7 +35,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINDINGS, TREES, DEPTH, SEED, THRESHOLD, CONTEXT, PIECE, SHORTEST = 2400, 9, 5, 3, 0.5, 48, 200, 4
+FINDINGS, TREES, DEPTH, SEED, THRESHOLD, CONTEXT, PIECE, SHORTEST = 2880, 9, 5, 3, 0.5, 48, 200, 4
+ESCAPES = 1000
 REDACTED = "[SECRET]"
 #: Names that announce a secret, and words that stand by harmless values of the same look.
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key"
@@ -40,17 +45,29 @@ HARMLESS = r"example|sample|dummy|placeholder|test|sha1|sha256|md5|checksum|dige
 DICTIONARY = "about account after and any build change check code config data default demo document error example file first for from group hello home image index info into item key last line link list local login main message model name network news number object open order page part pass password path phone photo place port post press print public query read report request sample secret server service session set sign start state string system table temp test text the this time title token type update upload user value version video view with word work world your".split()
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk_(?:live|test)_|^xox[abpr]-|^AIza|^eyJ"
 AFTER = rf"(?=((?s:.{{0,{CONTEXT}}})))"
-RUN_VALUE, TOLD = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}={0,2})", rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?"
+RUN_VALUE, NAMED = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}={0,2})", rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[=:]"
 RUN = RUN_VALUE + AFTER
+HEAD = rf"^[^\"',;<>]{{6,{PIECE}}}(?=[\"',;<>])"
+_PLAIN = r"\S{5,}[^\s,;.:)\]}\"'<>]"
+
+
+def _quoted(q: str) -> str:
+    """After an opening quote: what stands before the closing one on the line, else what stands before white space."""
+    closed = rf"(?=[^{q}\r\n]{{6}}|[^{q}\r\n]*\\)[^{q}\\\r\n]*+(?:\\[^\r\n][^{q}\\\r\n]*+){{0,{ESCAPES}}}+(?={q})"
+    return rf"(?<={q})(?:{closed}|(?![^{q}\r\n]*{q}){_PLAIN}|(?=(?:[^\\\r\n]*\\){{{ESCAPES + 1}}}){_PLAIN})"
+
+
 #: The value is looked at, not taken, so that an assignment within a longer value is a match too.
-ASSIGNED = rf"{TOLD}(?=([^\s\"',;<>]{{6,}}){AFTER})"
+ASSIGNED = rf"{NAMED}\s{{0,3}}[\"']?(?=({_quoted(chr(34))}|{_quoted(chr(39))}|(?<![\"'])(?![\"']){_PLAIN}){AFTER})"
+CREDENTIAL = rf"(?i)[a-z][a-z0-9+.\-]{{1,30}}://[^\s/?#:@]*+:(?=([^\s/?#]{{4,}})(?=@[^\s/?#@]){AFTER})"
 
 
 def candidates(text: Column) -> Column:
     """array<struct<value, before, after>> of a text, one for each place where a candidate stands."""
     none = F.array().cast("array<struct<value:string,before:string,after:string>>")
     runs = F.when(text.rlike(RUN_VALUE), F.filter(_matches(text, RUN, True), lambda c: c["value"].rlike("[0-9]"))).otherwise(none)
-    return F.concat(F.when(text.rlike(TOLD), _matches(text, ASSIGNED, False)).otherwise(none), runs)
+    told = F.when(text.rlike(NAMED), _matches(text, ASSIGNED, False)).otherwise(none)
+    return F.concat(told, runs, F.when(text.rlike("://[^\\s/?#]*:[^\\s/?#]*@"), _matches(text, CREDENTIAL, False)).otherwise(none))
 
 
 def _matches(text: Column, pattern: str, taken: bool) -> Column:
@@ -100,6 +117,7 @@ def features(c: Column | dict[str, Column]) -> list[tuple[str, Column]]:
         ("near_name", flag(F.concat(before, F.lit(" "), F.substring(after, 1, 24)).rlike(rf"(?i)(?:{NAMES})"))),
         ("harmless", flag(before.rlike(rf"(?i)(?:{HARMLESS})\W{{0,6}}(?:\w{{1,12}}\W{{1,3}})?$"))),
         ("known", flag(value.rlike(KNOWN))),
+        ("credential", flag(before.rlike(r"://[^\s/?#:@]*:$") & after.startswith("@"))),
         ("uuid", flag(value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"))),
     ]
 
@@ -111,19 +129,19 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     hex_ = "sha2(cast(id as string), 256)"
     upper = "upper(translate(sha2(concat('k', id), 256), '0123456789', 'GHJKLMNPQ7'))"
     mixed = "replace(base64(unhex(sha2(concat('m', id), 256))), '=', '')"
-    secret = f"""case id % 6 when 0 then substr({hex_}, 1, 16 + cast(pmod(xxhash64(id), 9) as int)) when 1 then concat('AKIA', substr({upper}, 1, 16)) when 2 then substr({hex_}, 1, 40)
+    secret = f"""case id % 8 when 6 then substr({mixed}, 1, 8 + cast(pmod(xxhash64(id), 9) as int)) when 7 then concat(substr({mixed}, 1, 6), {pick(11, ';', ',', '<', ' ', '>', '!,')}, substr({mixed}, 9, 4 + cast(pmod(xxhash64(id), 12) as int))) when 0 then substr({hex_}, 1, 16 + cast(pmod(xxhash64(id), 9) as int)) when 1 then concat('AKIA', substr({upper}, 1, 16)) when 2 then substr({hex_}, 1, 40)
         when 3 then substr({mixed}, 1, 20 + cast(pmod(xxhash64(id), 23) as int)) when 4 then concat('ghp_', substr(translate({mixed}, '+/', 'ab'), 1, 36)) else concat(substr({mixed}, 1, 7), '!', substr({hex_}, 1, 5)) end"""
-    told = f"""case id % 6 when 1 then concat({word(1)}, ' ', {word(2)}, ' ') when 4 then concat({word(1)}, ' ')
+    told = f"""case id % 8 when 6 then concat({word(1)}, ' ', {pick(12, 'postgres', 'https', 'amqp', 'ftp')}, '://', {word(2)}, ':') when 7 then concat({word(1)}, ' ', {pick(3, 'password="', 'token = "', "secret: 'x".replace("'x", '"'), 'api_key="')}) when 1 then concat({word(1)}, ' ', {word(2)}, ' ') when 4 then concat({word(1)}, ' ')
         else concat({word(1)}, ' ', {pick(3, 'password=', 'token = "', 'secret: ', 'api_key=', 'passwd = ', 'auth_token: ', 'PASSWORD=', 'access_key="')}) end"""
-    plain = f"""case id % 10 when 0 then concat({word(4)}, '_', {word(5)}, '_', {word(6)}, '_', cast(pmod(xxhash64(id), 100) as string)) when 1 then substr({hex_}, 1, 40)
+    plain = f"""case id % 12 when 10 then concat({word(4)}, ' ', {word(5)}, {pick(13, ' ', ', ')}, {word(6)}, ' ', {word(7)}) when 11 then {pick(14, 'password', 'secret', 'pass', 'passwd', 'your_password', 'xxxx')} when 0 then concat({word(4)}, '_', {word(5)}, '_', {word(6)}, '_', cast(pmod(xxhash64(id), 100) as string)) when 1 then substr({hex_}, 1, 40)
         when 2 then concat(substr({hex_}, 1, 8), '-', substr({hex_}, 9, 4), '-', substr({hex_}, 13, 4), '-', substr({hex_}, 17, 4), '-', substr({hex_}, 21, 12))
         when 3 then concat({word(4)}, '/', {word(5)}, '/', {word(6)}, cast(id as string)) when 4 then cast(pmod(xxhash64(id), 9000000000000000) + 1000000000000000 as string)
         when 5 then repeat({pick(7, 'x', '0', 'a1', '*', 'xX')}, 16) when 6 then concat({word(4)}, {word(5)}, {word(6)}, cast(pmod(id, 1000) as string)) when 7 then concat({word(4)}, '-', {word(5)}, '-', {word(6)}, '-2024')
         when 8 then concat('your_', {word(5)}, '_here') else concat({word(4)}, {word(5)}) end"""
-    near = f"""case id % 10 when 1 then concat({pick(8, 'commit ', 'sha1: ', 'checksum ', 'revision ', 'md5 = ', 'etag: ')}) when 5 then {pick(3, 'password=', 'token = "', 'example ', 'secret: ')} when 8 then {pick(3, 'password=', 'token: ', 'api_key=')}
+    near = f"""case id % 12 when 10 then {pick(3, 'password: "', 'the secret: "', 'token = "')} when 11 then concat({word(1)}, ' ', {pick(12, 'postgres', 'https', 'amqp', 'ftp')}, '://', {pick(15, 'user', 'name', 'admin')}, ':') when 1 then concat({pick(8, 'commit ', 'sha1: ', 'checksum ', 'revision ', 'md5 = ', 'etag: ')}) when 5 then {pick(3, 'password=', 'token = "', 'example ', 'secret: ')} when 8 then {pick(3, 'password=', 'token: ', 'api_key=')}
         when 9 then {pick(3, 'password=', 'token: ', 'the password: ', 'secret: ')} when 3 then concat({word(1)}, '/') else concat({word(1)}, ' ', {word(2)}, ' ') end"""
-    base = spark.range(rows).selectExpr("id div 2 as id", "id % 2 as label")
-    return base.selectExpr(f"case when label = 1 then {secret} else {plain} end as value", f"case when label = 1 then {told} else {near} end as before", f"concat(case when id % 3 = 0 then '\"' else '' end, ' ', {word(9)}) as after", "cast(label as int) as label")
+    base = spark.range(rows).selectExpr("id div 2 as id", "id % 2 as label").selectExpr(f"case when label = 1 then {secret} else {plain} end as value", f"case when label = 1 then {told} else {near} end as before", "id", "label")
+    return base.selectExpr("value", "before", f"concat(case when before like '%://%' then '@' when before like '%\"' or id % 3 = 0 then '\"' else '' end, case when before like '%://%' then '' else ' ' end, {word(9)}) as after", "cast(label as int) as label")
 
 
 @dataclass
@@ -191,7 +209,8 @@ def pieces(value: Column) -> Column:
 def findings(text: Column, forest: list[Tree]) -> Column:
     """array<struct<value, score>> of all candidates of a text, by value."""
     def scored(c: Column) -> Column:
-        x = F.transform(pieces(c["value"]), lambda p: F.array(*(e for _, e in features({"value": p, "before": c["before"], "after": c["after"]}))))
+        judged = F.array_distinct(F.concat(pieces(c["value"]), F.regexp_extract_all(c["value"], F.lit(HEAD), F.lit(0))))
+        x = F.transform(judged, lambda p: F.array(*(e for _, e in features({"value": p, "before": c["before"], "after": c["after"]}))))
         return F.struct(c["value"].alias("value"), F.array_max(F.transform(x, voted)).alias("score"))
 
     def voted(x: Column) -> Column:

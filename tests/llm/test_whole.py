@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import toxicity
 from quillgraph.llm.queries import URL_RULES
-from quillgraph.llm.secrets import ASSIGNED, RUN, candidates, labelled_findings, redact_secrets, scan_secrets, train_forest
+from quillgraph.llm.secrets import ASSIGNED, CREDENTIAL, RUN, candidates, labelled_findings, redact_secrets, scan_secrets, train_forest
 from quillgraph.llm.url_filter import judge_urls, spread
 
 
@@ -75,9 +75,9 @@ def test_time_is_linear_in_candidates(spark):
 
 def test_contexts_of_all_places(spark):
     rng = random.Random(3)
-    text = " ".join(rng.choice(["token=abc123def", "pwd=pwd=x1y2z3w", "deadbeef00112233445566", "w", "\U0001f600", "auth: 'q1w2e3r4t5y6u7'", "\n"]) for _ in range(200))
+    text = " ".join(rng.choice(["token=abc123def", "pwd=pwd=x1y2z3w", "deadbeef00112233445566", "w", "\U0001f600", "auth: 'q1w2e3r4t5y6u7'", "\n", "amqp://me:t0psecret9@h/x", 'pwd="a1;b2,c3 d4"']) for _ in range(200))
     found = texts_of(spark, [text]).select(candidates(F.col("text")).alias("c")).first().c
-    places = [(m[1], m.start(1)) for m in re.finditer(ASSIGNED, text)] + [(m[1], m.start(1)) for m in re.finditer(RUN, text) if re.search("[0-9]", m[1])]
+    places = [(m[1], m.start(1)) for m in re.finditer(ASSIGNED, text)] + [(m[1], m.start(1)) for m in re.finditer(RUN, text) if re.search("[0-9]", m[1])] + [(m[1], m.start(1)) for m in re.finditer(CREDENTIAL, text)]
     assert len(places) > 100 and [tuple(c) for c in found] == [(v, text[max(0, at - 48) : at], text[at + len(v) :][:48]) for v, at in places]
 
 
@@ -114,3 +114,84 @@ def test_ranks_settle(spark):
     edges = spark.createDataFrame([(a, b, 1 / out[a]) for a, b in links], "src string, dst string, share double")
     got = {r.host: r.rank for r in spread(spark.createDataFrame(list(seed.items()), "host string, seed double"), edges).collect()}
     assert max(abs(got[h] - rank[h]) for h in seed) < 1e-7
+
+
+FORMS = [
+    ('password="Xk9#fQ2w;zR7!pLm2Vt8s" x', "Xk9#fQ2w;zR7!pLm2Vt8s", 'password="[SECRET]" x'),
+    ('token = "a8Kd93jfL2qPz,Qm4Rt7Yb1Wc5Xn".', "a8Kd93jfL2qPz,Qm4Rt7Yb1Wc5Xn", 'token = "[SECRET]".'),
+    ('password="ab;cD9xK2wQ7z"', "ab;cD9xK2wQ7z", 'password="[SECRET]"'),
+    ('token = "Zq8!w,Rt5Kx2Lm9Vb" and', "Zq8!w,Rt5Kx2Lm9Vb", 'token = "[SECRET]" and'),
+    ("see postgres://bob:Tr0ub4dor99x@host/db now", "Tr0ub4dor99x", "see postgres://bob:[SECRET]@host/db now"),
+    ("secret: 'k8<Qz3>Lw9Tx0Vb7' end", "k8<Qz3>Lw9Tx0Vb7", "secret: '[SECRET]' end"),
+    (r'api_key="Qw8\"zT5kL0pX2vB9m" end', r'Qw8\"zT5kL0pX2vB9m', 'api_key="[SECRET]" end'),
+    ("password=Gh7;Kl2,Qz9Xw4Vt8 then", "Gh7;Kl2,Qz9Xw4Vt8", "password=[SECRET] then"),
+    ("password=b7db7aa4a5fcc78305, then", "b7db7aa4a5fcc78305", "password=[SECRET], then"),
+    ('token="9f8a7b6c5d4e3f2a1b unclosed', "9f8a7b6c5d4e3f2a1b", 'token="[SECRET] unclosed'),
+    ("amqp://svc:p@Zz9!Kq4Lm7x@queue:5672/v", "p@Zz9!Kq4Lm7x", "amqp://svc:[SECRET]@queue:5672/v"),
+]
+
+
+def test_secrets_of_every_form_go_whole(spark):
+    plain = ["https://user:password@host/x", "http://host:8080/a@b", 'the secret: "we met in the park, then went home"', 'pwd="abc" other = "x"', "password: none", "://:@", 'password=""', "token='"]
+    docs = texts_of(spark, [t for t, _, _ in FORMS] + plain)
+    forest = train_forest(labelled_findings(spark))
+    got = {r.doc_id: r.secrets for r in scan_secrets(docs, forest).collect()}
+    clean = {r.doc_id: r.text for r in redact_secrets(docs, forest).collect()}
+    for i, (text, secret, redacted) in enumerate(FORMS):
+        assert secret in got[i] and clean[i] == redacted, (text, got[i], clean[i])
+    for i, text in enumerate(plain, len(FORMS)):
+        assert got[i] == [] and clean[i] == text, (text, got[i])
+
+
+def test_many_escapes_and_long_quotes_are_read(spark):
+    long = "Zx9" + r"\"" * 3000 + "k2Q"
+    docs = texts_of(spark, [f'token="{long}" end', 'password="' + "ab1;" * 30_000 + '" end'])
+    got = scan_secrets(docs).collect()
+    assert all(r.n_candidates >= 1 for r in got)
+
+
+def plain_features(value, before, after):
+    """The numbers that describe a candidate, in plain code."""
+    from quillgraph.llm import secrets as S
+
+    n, low = max(len(value), 1), value.lower()
+    words = "|".join(sorted(S.DICTIONARY, key=len, reverse=True))
+    count = lambda p: len(re.findall(p, value)) / n
+    flag = lambda *xs: float(any(xs))
+    return [
+        float(n), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count("[^A-Za-z0-9]"), count("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"), len(set(value)) / n, len(re.findall(r"(.)\1{2,}", value)) / n,
+        (n - len(re.sub(words, "", low))) / n, count("(?i)[bcdfghjklmnpqrstvwxyz][aeiou][bcdfghjklmnpqrstvwxyz]"), flag(re.search(r"[/\\.]$", before), re.search(r"/.+/", value), re.search(r"^(?:[/\\@]|\.[a-z]{2,4}\b)", after)),
+        flag(re.search(rf"(?i)(?:{S.NAMES})\W{{0,6}}$", before)), flag(re.search(rf"(?i)(?:{S.NAMES})", before + " " + after[:24])), flag(re.search(rf"(?i)(?:{S.HARMLESS})\W{{0,6}}(?:\w{{1,12}}\W{{1,3}})?$", before)),
+        flag(re.search(S.KNOWN, value)), flag(re.search(r"://[^\s/?#:@]*:$", before) and after.startswith("@")), flag(re.search("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", value)),
+    ]
+
+
+def plain_secrets(text, forest, threshold=0.5):
+    """Secrets of a text: every candidate found, described and voted on in plain code."""
+    from quillgraph.llm import secrets as S
+
+    best = {}
+    places = [m for p in (ASSIGNED, RUN, CREDENTIAL) for m in re.finditer(p, text) if p != RUN or re.search("[0-9]", m[1])]
+    for m in places:
+        value, before, after = m[1], text[max(0, m.start(1) - 48) : m.start(1)], text[m.end(1) :][:48]
+        parts = [value] if len(value) <= S.PIECE else [value[i : i + S.PIECE] for i in range(0, len(value) - S.PIECE + 1, S.PIECE)] + [value[-S.PIECE :]]
+        parts += [h[0] for h in re.finditer(S.HEAD, value)]
+
+        def vote(tree, x):
+            while tree.feature >= 0:
+                tree = tree.low if x[tree.feature] <= tree.limit else tree.high
+            return tree.share
+
+        score = max(sum(vote(t, plain_features(p, before, after)) for t in forest) / len(forest) for p in parts)
+        best[value] = max(best.get(value, 0), score)
+    return sorted(v for v, s in best.items() if s >= threshold - 1e-12), len(best)
+
+
+def test_the_scan_equals_a_plain_one_on_a_whole_table(spark):
+    forest = train_forest(labelled_findings(spark))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = texts_of(spark, [t for t, _, _ in FORMS] + [f"{b}{v}{a}" for v, b, a, _ in labelled_findings(spark).limit(400).collect()]).selectExpr("doc_id + 100000 as doc_id", "text")
+    docs = docs.unionByName(extra)
+    got = {r.doc_id: (sorted(r.secrets), r.n_candidates) for r in scan_secrets(docs, forest).collect()}
+    want = {r.doc_id: plain_secrets(r.text or "", forest) for r in docs.collect()}
+    assert got == want and sum(len(s) for s, _ in want.values()) > 100
