@@ -30,9 +30,14 @@ def test_counts_equal_the_library():
     rng, t, own = random.Random(4), library(), token_counts.TokenCounter(FILE, kept=50)
     cases = ["", " ", "\n\n  x", "It's 12,345 don't", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "ab" * 4000, "=" * 3001, " " * 999 + "x", "日本語" * 300, "‍️😀" * 9, "a\x1cb\x85c　d", "0" * 77, "\r\n\r\n \t"]
     cases += ["".join(rng.choice("aeiouthrnsld'., 1=\n") for _ in range(rng.randint(1, 80))) for _ in range(1500)] + odd_texts(seed=5)
-    for text in cases:
-        assert own.count(text) == len(t.encode(text, add_special_tokens=False).ids), ascii(text)
-    assert len(own) <= 50
+    want = [len(t.encode(text, add_special_tokens=False).ids) for text in cases]
+    for text, n in zip(cases, want):
+        assert own.count(text) == n, ascii(text)
+    spaced = ["".join(rng.choice(["a", "b1", "'s", " ", " ", "\n", "\xa0", "\u2003", "!", "<|endoftext|>", "\x00", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for part in (cases, spaced[:1000], spaced[1000:], [x.replace("\x00", "") for x in spaced], [""], []):
+        told = own.count_all(pa.array(part, pa.large_string())) if part else []
+        assert list(told) == [len(t.encode(x, add_special_tokens=False).ids) for x in part]
+    assert len(own.segments) < 5000
 
 
 def test_classes_of_all_letters_equal_the_library():
@@ -48,8 +53,9 @@ def test_classes_of_all_letters_equal_the_library():
 def test_walked_texts_count_the_same(monkeypatch):
     own, text = token_counts.TokenCounter(FILE), "Some words, 12 of <|endoftext|> them.\n\n " * 50
     want = own.count(text)
+    assert own.count_all(pa.array([text], pa.large_string())).tolist() == [want]
     monkeypatch.setattr(token_counts, "WALKED", 10)
-    assert own.count(text) == want
+    assert own.count(text) == want and own.count_all(pa.array([text], pa.large_string())).tolist() == [want]
 
 
 def test_op13_rows(spark, tmp_path):
