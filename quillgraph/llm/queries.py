@@ -130,7 +130,60 @@ QUERIES = {
     "op13_token_counts": op13_token_counts,
 }
 
+
+
+def _codes_sql(parts: int = 4, own: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """op12: each round's assignments and codebooks as tables of their own; distance and index are one number, so the least has the lowest index."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, part, CAST(min((xx - 2 * list_inner_product(x, c) + cc) * 256 + entry) AS BIGINT) AS k FROM p JOIN b{r} USING (part) GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""n{r} AS (SELECT part, entry, list(m ORDER BY i) AS c FROM (SELECT part, k % 256 AS entry, i, floor(sum(x[i]) / count(*)) AS m FROM a{r} JOIN p USING (vec_id, part), range(1, {own + 1}) t(i) GROUP BY ALL) GROUP BY part, entry),
+            b{r + 1} AS MATERIALIZED (SELECT part, entry, c, list_inner_product(c, c) AS cc FROM (SELECT part, entry, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN n{r} n USING (part, entry)))""")
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS MATERIALIZED (SELECT vec_id, part, x, list_inner_product(x, x) AS xx FROM (SELECT vec_id, part, q[{own} * part + 1:{own} * part + {own}] AS x FROM v, range({parts}) t(part))),
+        b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c, xx AS cc FROM p QUALIFY entry < {entries}),
+        {", ".join(steps)},
+        told AS (SELECT vec_id, string_agg(printf('%02x', k % 256), '' ORDER BY part) AS code, CAST(sum(k // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+        book AS (SELECT sha256(string_agg(array_to_string([CAST(CAST(y AS BIGINT) AS VARCHAR) FOR y IN c], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM told JOIN v USING (vec_id), book
+    """
+
+
+def _crc_table() -> list[int]:
+    """The table of the common 32-bit cyclic redundancy check."""
+    out = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ 0xEDB88320 * (b & 1)
+        out.append(b)
+    return out
+
+
+#: op11: the digest goes byte by byte; near words share what is left without one letter.
+_SPELLING_SQL = f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL
+    ), h AS (
+        SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1 FOR i IN range(len(x) // 2)]),
+            lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]::BIGINT))) AS h FROM (SELECT run, k, hex(doc_id || ':' || run) AS x FROM runs)
+    ), n AS (
+        SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+    ), d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM n)),
+    near AS (
+        SELECT DISTINCT * FROM (SELECT d.word, n.word AS other FROM d JOIN n ON d.rest = n.word UNION ALL SELECT n.word, d.word FROM d JOIN n ON d.rest = n.word UNION ALL SELECT a.word, b.word FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word)
+    ), best AS (SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other, o.n AS other_n FROM near JOIN n o ON o.word = other QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) = 1),
+    f AS MATERIALIZED (SELECT word, CASE WHEN other_n >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM n LEFT JOIN best USING (word)),
+    up AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+    last AS (SELECT up.word, up.root FROM up JOIN f ON f.word = up.root AND f.form IS NULL)
+    SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN last USING (word)
+"""
+
 ORACLES = {
+    "op11_spelling": _SPELLING_SQL,
+    "op12_vector_codes": _codes_sql(),
     "op5_embed_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -13,7 +13,7 @@ word is cut moves to where the fewest blocks have to be asked. Each block is one
 from sorted words, then the asking words stream by. A task hands on one row for each asking word, never pairs.
 
 Occurrences are counted within tasks before they are shuffled; the boundaries of blocks come from a bounded sample of
-``SAMPLE`` words a block, which decides where work is done and no result. Roots are found by pointer jumping: since a
+some ``SAMPLE`` words a block, which decides where work is done and no result. Roots are found by pointer jumping: since a
 form has twice the count of its variant, chains are no longer than the logarithm of the largest count.
 
 Defined results: null and empty texts have no words, and an empty table gives no rows; texts of any length are read
@@ -167,11 +167,13 @@ class Automaton:
         return found
 
 
-def boundaries(words: DataFrame, n_blocks: int) -> tuple[list[str], list[str]]:
-    """First words of blocks in order, forward and reversed, from a sample by hash of at most ``SAMPLE`` words a block."""
+def boundaries(words: DataFrame, total: int, n_blocks: int) -> tuple[list[str], list[str]]:
+    """First words of blocks in order, forward and reversed, from a sample by hash of about ``SAMPLE`` words a block."""
     if n_blocks < 2:
         return [], []
-    sample = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE * n_blocks).select("word").collect()]
+    sample = [r.word for r in words.where(F.pmod(F.xxhash64("word"), F.lit(max(1, total // (SAMPLE * n_blocks)))) == 0).select("word").collect()]
+    if not sample:
+        return [], []
     cut = lambda xs: sorted({xs[len(xs) * i // n_blocks] for i in range(1, n_blocks)})
     return cut(sorted(sample)), cut(sorted(w[::-1] for w in sample))
 
@@ -201,7 +203,7 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = words.sparkSession
     total = words.count()
     n_blocks = min(MOST_BLOCKS, max(1, -(-total // block)))
-    forward, backward = boundaries(words, n_blocks)
+    forward, backward = boundaries(words, total, n_blocks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
