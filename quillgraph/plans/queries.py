@@ -503,7 +503,7 @@ def exact_link(spark: SparkSession, d: str) -> DataFrame:
     return L.link_exact(e.select(F.col("ord").alias("qid"), F.concat(F.lit("and what of "), F.lower("name"), F.lit(", please?")).alias("question")), e)
 
 
-_N = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', ' ', 'g'))"
+_N = "trim(regexp_replace(upper(replace({}, 'ß', 'SS')), '[^A-Z0-9]+', ' ', 'g'))"
 
 
 @query(f"""WITH t AS (SELECT *, replace(whole, ' ', '') AS compact FROM (SELECT doc_id AS chunk_seq, {_N.format("source")} AS section, {_N.format("lang")} AS context, {_N.format("substr(text, 1, 220)")} AS lead,
