@@ -197,18 +197,32 @@ def run_systems(cases: DataFrame, chunks: DataFrame, graph: DataFrame, top: int
     return cases.select("qid", "ground_truth").join(rows, "qid")
 
 
-def judged_metrics(predictions: DataFrame, judge: Callable[[pd.DataFrame], dict[str, float]] | None = None) -> DataFrame:
-    """Metrics by system from a provider that judges a system's predictions; those of token overlaps where there is none, or where it fails."""
-    if judge is not None:
-        names = ["answer_relevancy", "context_precision", "context_recall", "faithfulness"]
-
-        def one(group: pd.DataFrame) -> pd.DataFrame:
-            told = judge(group)
-            return pd.DataFrame([{"system": group.system.iloc[0], **{n: float(told[n]) for n in names}}])
-
-        try:
-            rows = predictions.groupBy("system").applyInPandas(one, "system string, " + ", ".join(f"{n} double" for n in names)).collect()  # a row for each system
-            return predictions.sparkSession.createDataFrame(rows)
-        except Exception:  # a judge may fail in any way
-            pass
-    return answer_metrics(predictions)
+def judged_metrics(predictions: DataFrame, judge: Callable[[pd.DataFrame], list[dict[str, float]] | dict[str, float]] | None = None) -> DataFrame:
+    """Metrics by system, and ``kind``: ``judge`` from a provider, ``overlap`` from token overlaps where there is none.
+
+    The provider scores batches of predictions (system, answer, ground_truth, contexts), a dict for each row or one for
+    all; means go by system, so no system's predictions meet in one task. A judge that fails does so for its rows alone: a system
+    with such rows has the metrics of token overlaps, and says so.
+    """
+    names = ["answer_relevancy", "context_precision", "context_recall", "faithfulness"]
+    plain = answer_metrics(predictions)
+    if judge is None:
+        return plain.withColumn("kind", F.lit("overlap"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            try:
+                told = judge(b)
+                told = [told] * len(b) if isinstance(told, dict) else told
+                rows = [[float(t[n]) for n in names] for t in told]
+                if len(rows) != len(b):
+                    raise ValueError("a judge gives a score for each row")
+            except Exception:  # a provider may fail in any way; the rows say that it did
+                rows = [[None] * len(names) for _ in range(len(b))]
+            yield pd.DataFrame(rows, columns=names, dtype=float).assign(system=b.system.to_numpy())[["system", *names]]
+
+    scored = predictions.mapInPandas(score, "system string, " + ", ".join(f"{n} double" for n in names))
+    failed = F.isnull(names[0]) | F.isnan(names[0])
+    by_system = scored.groupBy("system").agg(F.count_if(failed).alias("failed"), *(F.round(F.avg(F.when(~failed, F.col(n))), 6).alias(f"j_{n}") for n in names))
+    good = F.col("failed") == 0
+    return plain.join(by_system, "system").select("system", *(F.when(good, F.col(f"j_{n}")).otherwise(F.col(n)).alias(n) for n in names), F.when(good, "judge").otherwise("overlap").alias("kind"))

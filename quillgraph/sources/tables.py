@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.sources import fingerprints as D
 
 SOURCE = "id string, authority string, condition string, source_title string, format string, url string"
 
@@ -92,16 +93,13 @@ def read_markdown(spark: SparkSession, folder: str, recursive: bool = False) ->
 
 
 def source_state(files: DataFrame) -> DataFrame:
-    """One fingerprint of names, sizes and texts, whatever the order of rows: digests are summed, not gathered."""
-    digest = F.xxhash64("file_name", "size", "text").cast("decimal(38,0)")
-    return files.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(digest), F.lit(0)).cast("string"), F.coalesce(F.sum((digest * 31) % 1000003), F.lit(0)).cast("string")), 256).alias("state"))
+    """One fingerprint of names, sizes and texts, whatever the order of rows."""
+    return D.root(D.digest_tree(D.named_digests(files, "file_name", "size", "text")), "state")
 
 
 def nodes_hash(chunks: DataFrame) -> DataFrame:
-    """One fingerprint that depends on the order of chunks (chunk_seq, text): each digest covers its position, and id, file, header path and section where there are such columns."""
-    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("chunk_id", "file_path", "header_path", "section_title") if c in chunks.columns]
-    digest = F.xxhash64("chunk_seq", F.coalesce("original_text" if "original_text" in chunks.columns else "text", F.lit("")), *told).cast("decimal(38,0)")
-    return chunks.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(digest), F.lit(0)).cast("string")), 256).alias("nodes_hash"))
+    """One fingerprint that depends on the order of chunks (chunk_seq, text), and on id, file, header path and section where there are such columns."""
+    return D.root(D.digest_tree(D.chunk_digests(chunks)), "nodes_hash")
 
 
 def attach_metadata(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -241,8 +239,7 @@ def with_retries(call: Callable[[], object], tries: int = 4, wait: float = 1.0,
 
 def manifest_fingerprint(files: DataFrame) -> DataFrame:
     """One fingerprint of files (path, size, modified), whatever the order of rows."""
-    digest = F.xxhash64("path", "size", F.col("modified").cast("string")).cast("decimal(38,0)")
-    return files.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(digest), F.lit(0)).cast("string"), F.coalesce(F.sum((digest * 31) % 1000003), F.lit(0)).cast("string")), 256).alias("fingerprint"))
+    return D.root(D.digest_tree(D.named_digests(files, "path", "size", "modified")), "fingerprint")
 
 
 def discover_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
