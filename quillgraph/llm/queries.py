@@ -181,7 +181,28 @@ _SPELLING_SQL = f"""
     SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN last USING (word)
 """
 
+_FITS = {r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')" for _, r in URL_RULES}
+_BY_LENGTH = sorted(URL_RULES, key=lambda x: (-len(x[1]), x[1]))
+#: op7: rules, then both ranks walked for so many steps that what is left of the start is far below any difference of theirs.
+_URL_SQL = rf"""
+    WITH RECURSIVE u AS (
+        SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages
+    ), j AS (SELECT *, CASE {" ".join(f"WHEN {_FITS[r]} THEN '{r}'" for _, r in _BY_LENGTH)} END AS rule, CASE {" ".join(f"WHEN {_FITS[r]} THEN '{v}'" for v, r in _BY_LENGTH)} END AS told FROM u),
+    a AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS t FROM j),
+    l AS (SELECT src, dst, count(*) AS n FROM (SELECT src, translate(regexp_extract(t, '^(?s:.*?)//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM a) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+    h AS (SELECT host, max(allow) AS allow, max(block) AS block FROM (SELECT host, count(*) FILTER (told = 'allow') AS allow, count(*) FILTER (told = 'block') AS block FROM j GROUP BY host UNION ALL SELECT unnest([src, dst]), 0, 0 FROM l) GROUP BY host),
+    s AS (SELECT 't' AS kind, host, coalesce(allow / nullif(sum(allow) OVER (), 0), 0) AS seed FROM h UNION ALL SELECT 'd', host, coalesce(block / nullif(sum(block) OVER (), 0), 0) FROM h),
+    e AS MATERIALIZED (
+        SELECT x.kind, x.src, x.dst, x.share, s.seed FROM (SELECT 't' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM l UNION ALL SELECT 'd', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM l UNION ALL SELECT kind, host, host, 0 FROM s) x JOIN s ON s.kind = x.kind AND s.host = x.dst
+    ), walk AS (
+        SELECT 0 AS i, kind, host, CAST(seed AS DOUBLE) AS rank FROM s
+        UNION ALL SELECT i + 1, kind, host, came + (1 - sum(came) OVER (PARTITION BY kind)) * seed FROM (SELECT i, w.kind, e.dst AS host, e.seed, 0.85 * sum(rank * share) AS came FROM walk w JOIN e ON e.kind = w.kind AND e.src = w.host WHERE i < 150 GROUP BY i, w.kind, e.dst, e.seed)
+    ), v AS (SELECT host, CASE WHEN max(rank) FILTER (kind = 'd') - max(rank) FILTER (kind = 't') > 0 THEN 'block' ELSE 'allow' END AS verdict FROM walk WHERE i = 150 GROUP BY host)
+    SELECT page_id, j.host, path, rule, coalesce(told, v.verdict, 'allow') AS verdict FROM j LEFT JOIN v USING (host)
+"""
+
 ORACLES = {
+    "op7_url_filter": _URL_SQL,
     "op11_spelling": _SPELLING_SQL,
     "op12_vector_codes": _codes_sql(),
     "op5_embed_dedup": """

@@ -195,3 +195,60 @@ def test_the_scan_equals_a_plain_one_on_a_whole_table(spark):
     got = {r.doc_id: (sorted(r.secrets), r.n_candidates) for r in scan_secrets(docs, forest).collect()}
     want = {r.doc_id: plain_secrets(r.text or "", forest) for r in docs.collect()}
     assert got == want and sum(len(s) for s, _ in want.values()) > 100
+
+
+def plain_differencing(weights, shards):
+    """Sums of shards: the two partitions of the largest spread are combined, largest with smallest, until one is left."""
+    parts = [(i, sorted([w] + [0] * (shards - 1), reverse=True)) for i, w in enumerate(weights)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][-1] - p[1][0], p[0]))
+        a, b = parts.pop(0)[1], parts.pop(0)[1]
+        parts.append((made, sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)))
+        made += 1
+    return parts[0][1]
+
+
+def test_differencing_equals_a_plain_one_and_shards_are_even(spark):
+    from quillgraph.llm import sharding
+
+    rng = random.Random(7)
+    for n, shards in ((1, 3), (40, 5), (300, 24), (200, 2)):
+        weights = [rng.choice([rng.randint(1, 50), rng.randint(1, 5000)]) for _ in range(n)]
+        slots, sums = sharding.difference([[w] for w in weights], shards)
+        mine = [0] * shards
+        for w, s in zip(weights, slots):
+            mine[s[0]] += w
+        assert sorted(mine) == sorted(sums) == sorted(plain_differencing(weights, shards))
+    texts = ["x" * rng.randint(0, 4000) for _ in range(400)] + ["same text " * 90] * 7
+    placed = sharding.shard_by_bytes(texts_of(spark, texts).repartition(3), 24).collect()
+    by_shard = {s: 0 for s in range(24)}
+    for r in placed:
+        by_shard[r.shard] += r.size
+    groups = {}
+    for t in texts:
+        groups[t] = groups.get(t, 0) + len(t) + 8
+    best = plain_differencing(list(groups.values()), 24)
+    # dealt over tasks and differenced again, it is nearly as even as all groups at once
+    assert len(placed) == len(texts) and max(by_shard.values()) - min(by_shard.values()) <= 4 * (max(best) - min(best)) + 200
+
+
+def test_url_verdicts_equal_their_sql_on_linked_hosts(spark):
+    import duckdb
+
+    from quillgraph.llm.queries import ORACLES
+
+    rng = random.Random(11)
+    hosts = ["www.example.com", "a.com", "b.net", "c.org", "d.org", "e.io", "f.io", "g.dev"]
+    rows = []
+    for i in range(60):
+        host, to = rng.choice(hosts), rng.sample(hosts, 2)
+        link = " ".join(f'<a class="x" HREF="{p}{t}/y">z</a>' for p, t in zip(("https://", "//"), to))
+        rows.append((i, f"https://{host}/{rng.choice(['en/', 'es/', 'fr/', ''])}p{i}", link if rng.random() < 0.7 else ""))
+    rows += [(100, None, "<a href=//c.org/>x</a>"), (101, "no scheme", None), (102, "HTTP://C.ORG?x", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.execute("SELECT page_id, host, path, rule, verdict FROM (" + ORACLES["op7_url_filter"] + ")").fetchall()
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, URL_RULES).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {r[4] for r in want if r[3] is None} == {"allow", "block"}
