@@ -6,6 +6,9 @@ costs only the tasks it ran: every later stage reads files that all executors ca
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,7 @@ import pyarrow.compute as pc
 from quillgraph.operators.components import components
 from quillgraph.sources.staging import discard, release, stage, workspace
 
-__all__ = ["components", "discard", "free_name", "release", "runs", "slices", "stage", "strings", "workspace"]
+__all__ = ["components", "discard", "free_name", "give_back", "release", "runs", "slices", "stage", "strings", "workspace"]
 
 
 def strings(texts: pa.Array, begin: int = 0, end: int | None = None) -> pa.Array:
@@ -26,6 +29,14 @@ def strings(texts: pa.Array, begin: int = 0, end: int | None = None) -> pa.Array
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets - offsets[0]), data])
 
 
+def give_back() -> None:
+    """Return memory that Python and Arrow have freed but keep, to the system; where the system has no such call, Arrow's alone."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with underscores appended until no column is called so."""
     taken = {c.lower() for c in columns}

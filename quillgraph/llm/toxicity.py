@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import slices, strings
+from quillgraph.llm.common import give_back, slices, strings
 
 SAMPLE, SAMPLE_CHARS = 800, 20_000
 WINDOW, STRIDE = 32, 8
@@ -345,7 +345,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         if count[r.toxic] < sample:
             count[r.toxic] += 1
             picked.append(r)
-    return train(pa.array([r.text for r in picked], pa.large_string()), [r.toxic for r in picked])
+    texts, marks = pa.array([r.text for r in picked], pa.large_string()), [r.toxic for r in picked]
+    del rows, picked
+    model = train(texts, marks)
+    # the driver goes on with other stages
+    give_back()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
