@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from quillgraph.sources.staging import stage
 
 #: Repair targets, or curated facts, that one pass may have; they go to every task.
 MOST_TARGETS = 10_000
+#: Chunks that are looked through before their hits leave.
+AT_A_TIME = 64
 PAYLOAD = "struct<entities:array<struct<id:string,name:string,type:string,description:string>>,relations:array<struct<source:string,target:string,relation:string,description:string,strength:string>>>"
 
 
@@ -187,23 +190,27 @@ def _automaton(patterns: dict[str, list[int]]) -> ahocorasick.Automaton | None:
 
 
 def _scored_chunks(forms: DataFrame, targets: list, kind: str) -> DataFrame:
-    """Scores of a few targets in chunks (chunk_seq and normalised context, section, lead, whole and compact text), hits alone."""
-    names = [t.target for t in targets]
+    """Scores of a few targets in chunks (chunk_seq and normalised context, section, lead and whole text), hits alone.
 
-    def told(column: str, squeeze: bool = False) -> dict[str, list[int]]:
+    What a chunk holds is gathered in vectors over the targets; rows leave some at a time, so memory is bounded by
+    ``AT_A_TIME`` chunks and rows.
+    """
+    names = pa.array([t.target for t in targets], pa.string())
+
+    def told(column: str, squeeze: bool = False) -> dict[str, np.ndarray]:
         out: dict[str, set[int]] = {}
         for i, t in enumerate(targets):
             for p in t[column] or ():
                 if p := (p or "").replace(" ", "" if squeeze else " "):
                     out.setdefault(p, set()).add(i)
-        return {p: sorted(who) for p, who in out.items()}
+        return {p: np.array(sorted(who), np.int32) for p, who in out.items()}
 
     aliases, compacts, hints = told("aliases"), told("aliases", True), told("hints")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_alias, by_compact, by_hint = map(_automaton, (aliases, compacts, hints))
 
-        def met(automaton, text: str) -> dict[int, tuple[int, list[int], int]]:
+        def met(automaton, text: str) -> dict[int, tuple[int, np.ndarray, int]]:
             """{pattern: (its length, its targets, where it first ends)}."""
             found: dict = {}
             if automaton is not None:
@@ -212,24 +219,34 @@ def _scored_chunks(forms: DataFrame, targets: list, kind: str) -> DataFrame:
                         found[p] = (length, who, end + 1)
             return found
 
-        def of(found: dict, near=None) -> set[int]:
-            return {i for length, who, end in found.values() if near is None or near(length, end) for i in who}
+        def of(found: dict, near=None) -> np.ndarray:
+            who = np.zeros(len(targets), bool)
+            picked = [w for length, w, end in found.values() if near is None or near(length, end)]
+            if picked:
+                who[np.concatenate(picked)] = True
+            return who
+
+        def scored(context: str, section: str, lead: str, whole: str) -> tuple[np.ndarray, np.ndarray]:
+            in_context, heads, everywhere = met(by_alias, context), met(by_hint, section), met(by_hint, whole)
+            score = 20 * of(in_context) + 18 * of(met(by_alias, whole)) + 12 * of(met(by_compact, whole.replace(" ", "")))
+            for p, (_, who, _) in (heads | everywhere).items():
+                score[who] += 12 if p in heads else 5
+            anchors = of(in_context, lambda n, end: end <= max(n + 20, 80)) | of(met(by_alias, section), lambda n, end: end == n) | of(met(by_alias, lead))
+            return score, anchors
+
+        def rows(seqs: list, found: list) -> pa.RecordBatch:
+            at = [s.nonzero()[0] for s, _ in found]
+            which = np.concatenate(at)
+            times = np.repeat(np.arange(len(seqs)), [len(x) for x in at])
+            score, anchor = (np.concatenate([f[k][x] for f, x in zip(found, at)]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array(seqs, seq_type).take(pa.array(times)), pa.array(score, pa.int32()), pa.array(anchor)], ["target", "chunk_seq", "score", "anchor"])
 
         for batch in batches:
-            out: list[tuple] = []
-            for seq, context, section, lead, whole, compact in zip(*(c.to_pylist() for c in batch.columns)):
-                in_context, heads, everywhere = met(by_alias, context), met(by_hint, section), met(by_hint, whole)
-                anchors = of(in_context, lambda n, end: end <= max(n + 20, 80)) | of(met(by_alias, section), lambda n, end: end == n) | of(met(by_alias, lead))
-                score: dict[int, int] = {}
-                for points, who in ((20, of(in_context)), (18, of(met(by_alias, whole))), (12, of(met(by_compact, compact)))):
-                    for i in who:
-                        score[i] = score.get(i, 0) + points
-                for p, (_, who, _) in (heads | everywhere).items():
-                    for i in who:
-                        score[i] = score.get(i, 0) + (12 if p in heads else 5)
-                out += [(names[i], seq, n, i in anchors) for i, n in score.items()]
-            columns = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.bool_())], ["target", "chunk_seq", "score", "anchor"])
+            seq_type = batch.schema.field(0).type
+            for begin in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(begin, AT_A_TIME)
+                texts = zip(*(c.to_pylist() for c in part.columns[1:]))
+                yield rows(part.column(0).to_pylist(), [scored(*t) for t in texts])
 
     return forms.mapInArrow(run, f"target string, chunk_seq {kind}, score int, anchor boolean")
 
@@ -245,7 +262,7 @@ def repair_scores(chunks: DataFrame, targets: DataFrame, at_once: int = MOST_TAR
     """
     part = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
     whole, norm = F.concat_ws(" ", part("section"), part("context"), part("text")), lambda c: T.normalize_name(F.coalesce(c, F.lit("")))
-    forms = chunks.select("chunk_seq", norm(F.col("context")).alias("context"), norm(F.col("section")).alias("section"), norm(F.substring("text", 1, 220)).alias("lead"), norm(whole).alias("whole"), T.compact_name(whole).alias("compact"))
+    forms = chunks.select("chunk_seq", norm(F.col("context")).alias("context"), norm(F.col("section")).alias("section"), norm(F.substring("text", 1, 220)).alias("lead"), norm(whole).alias("whole"))
     kind, out = chunks.schema["chunk_seq"].dataType.simpleString(), None
     own = targets.select("target", "aliases", F.transform("hints", lambda h: T.normalize_name(h)).alias("hints"))
     n = own.count()
