@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quillgraph import config as C
 from quillgraph.functions import text as T
-from quillgraph.sources.staging import stage
+from quillgraph.sources.staging import spread, stage, tasks
+
+#: Hays of a task, each with dozens of letter runs and hits of many questions.
+HAYS = 10_000
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list[Column], most: int | None = None) -> DataFrame:
@@ -86,10 +89,12 @@ def substring_hits(terms: DataFrame, hays: DataFrame, ids: list[str], shortest:
     terms = stage(terms.select("term").where(F.length("term") >= shortest).distinct(), "terms")
     own = F.when(F.length("term") < 3, F.array("term")).otherwise(_grams(F.col("term"), (3,)))
     asked = stage(terms.select("term", F.explode(own).alias("run")), "term_runs")
-    index = stage(hays.select(*ids, F.explode(_grams(F.col("hay"), sizes)).alias("run")).join(asked.select("run").distinct(), "run", "left_semi"), "run_index")
+    index = stage(spread(hays, HAYS).select(*ids, F.explode(_grams(F.col("hay"), sizes)).alias("run")).join(asked.select("run").distinct(), "run", "left_semi"), "run_index")
     often = index.groupBy("run").agg(F.count("*").alias("often"))
     # a run that no hay holds leaves its term without a hit
-    rarest = asked.join(often, "run", "left").groupBy("term").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)).alias("n"), "run")).alias("run"))
+    rarest = stage(asked.join(often, "run", "left").groupBy("term").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)).alias("n"), "run")).alias("run")), "rarest_runs")
+    # staged, hays look far smaller than they are in memory: they are never broadcast
+    hays = hays.hint("merge")
     met = index.join(rarest, "run").select("term", *ids)
     short = met.where(F.length("term") < 3)
     if shortest < 3:
@@ -97,8 +102,12 @@ def substring_hits(terms: DataFrame, hays: DataFrame, ids: list[str], shortest:
     return met.join(hays, ids).where(F.col("hay").contains(F.col("term"))).select("term", *ids)
 
 
-def _scored(asked: DataFrame, hits: DataFrame, ids: list[str]) -> DataFrame:
-    """(qid, ``ids``, score): how many of a question's terms (qid, term) hit; each term was looked for once, whoever asks it."""
+def _scored(asked: DataFrame, hays: DataFrame, ids: list[str], shortest: int = 1) -> DataFrame:
+    """(qid, ``ids``, score): how many of a question's terms (qid, term) hit; each term is looked for once, whoever asks it.
+
+    Hits are dealt by hay before they meet the questions that ask, so that pairs of both are counted where they arise.
+    """
+    hits = substring_hits(asked, hays, ids, shortest).repartition(tasks(hays, HAYS), *ids)
     return asked.join(hits, "term").groupBy("qid", *ids).agg(F.count("*").alias("score"))
 
 
@@ -107,7 +116,7 @@ def keyword_search(questions: DataFrame, entities: DataFrame, top: int = 10) ->
     terms = F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: (F.length(t) > 2) & ~t.isin(C.QUERY_STOPWORDS)))
     asked = stage(questions.select("qid", F.explode(terms).alias("term")), "asked_terms")
     hays = stage(entities.select("name", F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))).alias("hay")), "hays")
-    hits = _ranked(_scored(asked, substring_hits(asked, hays, ["name"], 3), ["name"]), ["qid"], [F.desc("score"), F.col("name")], top)
+    hits = _ranked(_scored(asked, hays, ["name"], 3), ["qid"], [F.desc("score"), F.col("name")], top)
     return hits.join(entities.select("name", "label"), "name").select("qid", "name", "label", "score", "rank")
 
 
@@ -116,7 +125,7 @@ def summary_search(questions: DataFrame, summaries: DataFrame, top: int = 3) ->
     terms = F.array_distinct(F.filter(T.tokens(F.col("question")), lambda t: ~t.isin(C.QUERY_STOPWORDS)))
     asked = stage(questions.select("qid", F.explode(terms).alias("term")), "asked_terms")
     hays = stage(summaries.select("community_id", F.lower("summary").alias("hay")), "hays")
-    hits = _scored(asked, substring_hits(asked, hays, ["community_id"]), ["community_id"])
+    hits = _scored(asked, hays, ["community_id"])
     return _ranked(hits, ["qid"], [F.desc("score"), F.col("community_id")], top)
 
 
@@ -174,5 +183,5 @@ def store_text_search(questions: DataFrame, entities: DataFrame, top: int = 10)
     asked = stage(questions.select("qid", F.explode(T.keyword_tokens(F.col("question"))).alias("term")), "asked_terms")
     # a term has only letters and digits, so none reaches from the name over the line's end into the description
     hays = stage(entities.select("name", F.lower(F.concat_ws("\n", "name", F.coalesce("description", F.lit("")))).alias("hay")), "hays")
-    hits = _ranked(_scored(asked, substring_hits(asked, hays, ["name"], 3), ["name"]), ["qid"], [F.desc("score"), F.col("name")], top)
+    hits = _ranked(_scored(asked, hays, ["name"], 3), ["qid"], [F.desc("score"), F.col("name")], top)
     return hits.join(entities.select("name", "label"), "name").select("qid", "name", "label", "score", "rank")

@@ -49,9 +49,14 @@ def stage(df: DataFrame, name: str = "table", group: int | None = None) -> DataF
     return out
 
 
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks take about ``rows`` rows of ``df`` each, one a core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` over as many tasks as take about ``rows`` of its rows each, one a core at least: for few bytes with much work for each."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+    """``df`` over so many tasks: for few bytes with much work for each."""
+    return df.repartition(tasks(df, rows))
 
 
 def _delete(path: str) -> None:
