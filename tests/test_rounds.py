@@ -29,3 +29,25 @@ def test_moves_take_few_rounds_and_none_is_taken_back(spark, monkeypatch):
     # random halves of the nodes that gain took 34 rounds
     assert staged.count("graph_moves") <= 20
     assert len(shares) > 5 and all(y[1] > x[1] for x, y in zip(shares, shares[1:]) if x[0] == y[0])
+
+
+def test_texts_are_cut_only_where_their_shapes_meet(spark, monkeypatch):
+    from quillgraph.operators import linking as L
+
+    def run(n):
+        staged, stage = {}, L.stage
+
+        def counted(df, name="table", *rest):
+            out = stage(df, name, *rest)
+            staged[name] = staged.get(name, 0) + out.count()
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(L, "stage", counted)
+            names = spark.range(1000, 1000 + n).select(F.concat(F.lit("PART "), "id").alias("name"), F.lit("PART").alias("label"))
+            asked = spark.range(1000, 1000 + n).select(F.col("id").alias("qid"), F.concat(F.lit("where is pat "), "id", F.lit(" then")).alias("question"))
+            found = L.link_fuzzy(asked, names)
+            assert {(r.qid, r.name) for r in found.where("rank = 1").collect()} == {(k, f"PART {k}") for k in range(1000, 1000 + n)}
+        return staged["fuzzy_cuts"], staged["fuzzy_rests"]
+
+    assert run(20) == run(200)
