@@ -140,7 +140,8 @@ def graph_merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'strength_in_range', count(*) = 0 FROM rels WHERE strength NOT BETWEEN 1 AND 10 UNION ALL SELECT 'names_filled', count(*) = 0 FROM ents WHERE trim(name) = ''
     UNION ALL SELECT 'relation_names_valid', count(*) = 0 FROM rels WHERE NOT regexp_matches(relation, '^[A-Z][A-Z0-9_]*$') UNION ALL SELECT 'relations_sourced', count(*) = 0 FROM rels WHERE sources = '') SELECT * FROM c""")
 def structural_checks(spark: SparkSession, d: str) -> DataFrame:
-    return G.structural_checks(*star_graph(spark, d))
+    e, r = star_graph(spark, d)
+    return G.structural_checks(e, stage(r, "supplies"))  # lines are summed up once for all checks
 
 
 def _payload_chunks(spark: SparkSession, d: str) -> DataFrame:

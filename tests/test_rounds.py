@@ -51,3 +51,35 @@ def test_texts_are_cut_only_where_their_shapes_meet(spark, monkeypatch):
         return staged["fuzzy_cuts"], staged["fuzzy_rests"]
 
     assert run(20) == run(200)
+
+
+def test_sources_of_supplies_are_bits_until_summed_up(spark, tmp_path):
+    from quillgraph.plans.star import star_graph
+
+    tables = {
+        "region": ([(0, "asia")], "r_regionkey int, r_name string"), "nation": ([(0, "japan", 0)], "n_nationkey int, n_name string, n_regionkey int"), "supplier": ([(1, "s", 0)], "s_suppkey bigint, s_name string, s_nationkey int"),
+        "part": ([(7, "p", "b", "t"), (8, "q", "b", "t")], "p_partkey bigint, p_name string, p_brand string, p_type string"),
+        "lineitem": ([(1, 7, k) for k in (21, 1, 10, -3, -21, 9, 19, None)] + [(1, 8, None), (1, None, 4)], "l_suppkey bigint, l_partkey bigint, l_orderkey bigint"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    supplies = star_graph(spark, str(tmp_path))[1].where("relation = 'SUPPLIES'")
+    assert {(r.target, tuple(r.sources), r.strength, r.ord) for r in supplies.collect()} == {("PART 7", ("-1", "-3", "0", "1", "9"), 8, -21), ("PART 8", (), 1, None), (None, ("4",), 1, 4)}
+    assert "ObjectHashAggregate" not in supplies._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_judged_and_supplies_summed_up_once(spark, monkeypatch):
+    from quillgraph.operators import graph as G
+    from quillgraph.plans import queries as PQ
+    from quillgraph.plans.star import STAR, star_graph
+
+    staged = []
+
+    def counted(of):
+        return lambda df, name="table", *rest: (staged.append(name), of(df, name, *rest))[1]
+
+    for module in (G, PQ):
+        monkeypatch.setattr(module, "stage", counted(module.stage))
+    G.clean_graph(*star_graph(spark, "/root/testdata/sf0.001"), STAR)
+    PQ.structural_checks(spark, "/root/testdata/sf0.001")
+    assert staged == ["kept_entities", "supplies"]
