@@ -83,3 +83,17 @@ def test_names_are_judged_and_supplies_summed_up_once(spark, monkeypatch):
     G.clean_graph(*star_graph(spark, "/root/testdata/sf0.001"), STAR)
     PQ.structural_checks(spark, "/root/testdata/sf0.001")
     assert staged == ["kept_entities", "supplies"]
+
+
+def test_links_are_read_in_one_round_and_contracted(spark, monkeypatch):
+    from quillgraph.operators import components as CO
+
+    staged = []
+    monkeypatch.setattr(CO, "stage", lambda df, name="table", of=CO.stage: (staged.append((name, of(df, name))), staged[-1][1])[1])
+    # a sorted path, and a hub whose leaves are all smaller than it
+    links = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(70)] + [(f"m{k}", "z") for k in range(5)] + [("x", "x"), (None, "y")]
+    sizes = []
+    monkeypatch.setattr(CO, "discard", lambda *dfs, of=CO.discard: (sizes.extend(df.count() for df in dfs if "c_edges" in df._stage_path), of(*dfs))[1])
+    out = {r.node: r.component for r in CO.components(spark.createDataFrame(links, "a string, b string"), "c").collect()}
+    assert out == {**{f"n{k:03d}": "n000" for k in range(71)}, **{f"m{k}": "m0" for k in range(5)}, "z": "m0"}
+    assert sizes == [75, 4, 0]
