@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.config import Ontology
+from quillgraph.sources.staging import tasks
+
+#: Lines of a task that sums them up, whatever the splits of their files.
+LINES = 500_000
 
 STAR = Ontology(
     priority={"SUPPLIER": 6, "PART": 5, "BRAND": 4, "PTYPE": 3, "NATION": 2, "REGION": 1},
@@ -43,7 +47,9 @@ def star_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     empty, five = F.array().cast("array<string>"), F.lit(5)
     nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     home = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    lines = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("l_orderkey") % 10 + 9).cast("int"))).alias("digits"), F.min("l_orderkey").alias("ord"))
+    # nearly every line is a supply of its own: dealt first, no task holds the sums of a whole split before it deals them
+    dealt = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey").repartition(tasks(t("lineitem"), LINES), "l_suppkey", "l_partkey")
+    lines = dealt.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("l_orderkey") % 10 + 9).cast("int"))).alias("digits"), F.min("l_orderkey").alias("ord"))
     # the last digits are bits of one number until the supplies are summed up: no sets grow in memory, and nothing is sorted for them
     held = F.array(*[F.when(F.col("digits").bitwiseAND(F.lit(1 << (k + 9))) != 0, F.lit(str(k))) for k in sorted(range(-9, 10), key=str)])
     lines = lines.withColumn("chunks", F.array_compact(held))

@@ -97,3 +97,10 @@ def test_links_are_read_in_one_round_and_contracted(spark, monkeypatch):
     out = {r.node: r.component for r in CO.components(spark.createDataFrame(links, "a string, b string"), "c").collect()}
     assert out == {**{f"n{k:03d}": "n000" for k in range(71)}, **{f"m{k}": "m0" for k in range(5)}, "z": "m0"}
     assert sizes == [75, 4, 0]
+
+
+def test_lines_are_dealt_before_they_are_summed_up(spark):
+    from quillgraph.plans.star import star_graph
+
+    plan = star_graph(spark, "/root/testdata/sf0.001")[1].where("relation = 'SUPPLIES'")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
