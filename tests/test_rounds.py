@@ -104,3 +104,12 @@ def test_lines_are_dealt_before_they_are_summed_up(spark):
 
     plan = star_graph(spark, "/root/testdata/sf0.001")[1].where("relation = 'SUPPLIES'")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_lookups_read_only_relations_of_named_entities(spark):
+    from quillgraph.plans.router import _touched
+
+    relations = spark.createDataFrame([("a", "R", "b", ["1"]), ("c", "R", "a", ["2"]), ("a", "R", "a", []), ("c", "R", "d", ["3"]), (None, "R", "d", ["4"])], "subject string, relation string, target string, sources array<string>")
+    linked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "none")], "qid int, name string")
+    out = _touched(relations, linked)
+    assert out.columns == relations.columns and sorted((r.subject, r.target) for r in out.collect()) == [("a", "a"), ("a", "b"), ("c", "a")]
