@@ -113,3 +113,12 @@ def test_lookups_read_only_relations_of_named_entities(spark):
     linked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "none")], "qid int, name string")
     out = _touched(relations, linked)
     assert out.columns == relations.columns and sorted((r.subject, r.target) for r in out.collect()) == [("a", "a"), ("a", "b"), ("c", "a")]
+
+
+def test_neighbours_move_at_once_where_lost_links_cost_less_than_is_gained(spark):
+    from quillgraph.operators import communities as CM
+
+    both = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "a bigint, b bigint, w bigint")
+    for more, moved in ((5_000, {1: 20, 2: 30}), (900, {1: 20})):
+        plan = spark.createDataFrame([(1, 1, 1_000, 10, 0, 20, 1 << 20), (2, 1, 1_000, 20, 0, 30, more)], "name bigint, degree bigint, total bigint, community bigint, round int, best bigint, more bigint")
+        assert {r.name: r.to for r in CM._turns(both, plan, False).collect()} == moved
